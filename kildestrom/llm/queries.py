@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kildestrom.llm.lookalikes import bigram_model, disguised_fields
+from kildestrom.llm.neardup import near_groups
 from kildestrom.session import table
 
 
@@ -21,3 +23,20 @@ def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical}
 ORACLE: dict[str, str] = {}
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with its group of near-copies and the group's size."""
+    groups = near_groups(table(spark, sf_dir, "candidate"), "id", ["title", "teaser"])
+    sizes = groups.groupBy("group").agg(F.min("key").alias("group_id"), F.countDistinct("key").alias("n_ids"))
+    return groups.join(sizes, "group").select(F.col("key").alias("id"), "group_id", "n_ids").distinct()
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of candidates in one group."""
+    groups = near_groups(table(spark, sf_dir, "candidate"), "id", ["title", "teaser"])
+    a, b = groups.select("group", F.col("key").alias("id_a")), groups.select("group", F.col("key").alias("id_b"))
+    return a.join(b, "group").filter("id_a < id_b").select("id_a", "id_b").distinct()
+
+
+QUERIES |= {"p2_found": p2_found, "p2_groups": p2_groups}
