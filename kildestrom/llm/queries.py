@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kildestrom.llm.history import RunStore, entries, screen
 from kildestrom.llm.lookalikes import bigram_model, disguised_fields
 from kildestrom.llm.neardup import near_groups
-from kildestrom.session import table
+from kildestrom.session import cut, table
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,3 +41,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p2_found": p2_found, "p2_groups": p2_groups}
+
+
+def source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and domains of the sources, one a row."""
+    sources = table(spark, sf_dir, "feed_source")
+    return sources.select("name").unionByName(sources.select(F.explode("domains").alias("name"))).filter("name is not null").distinct()
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw entries that bring nothing new; the accepted candidates are the first run of the history."""
+    names = source_names(spark, sf_dir)
+    store = RunStore(spark)
+    past, new = table(spark, sf_dir, "candidate"), table(spark, sf_dir, "raw_entry")
+    store.add(cut(entries(past, F.lit(-1), F.col("url"), F.col("title"), names), "entries"))
+    return screen(store, cut(entries(new, F.col("ord"), F.col("url"), F.col("title"), names), "entries"))
+
+
+QUERIES |= {"p3_found": p3_found}
