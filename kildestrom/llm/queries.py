@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kildestrom.llm.history import RunStore, entries, screen
 from kildestrom.llm.lookalikes import bigram_model, disguised_fields
 from kildestrom.llm.neardup import near_groups
+from kildestrom.llm.truncation import judged, source_shares
 from kildestrom.session import cut, table
 
 
@@ -59,3 +60,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p3_found": p3_found}
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates whose teaser was cut off."""
+    return judged(table(spark, sf_dir, "candidate"), "id", "source", "teaser").filter("cut").select(F.col("key").alias("id")).distinct()
+
+
+def p6_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts its teasers off."""
+    return source_shares(judged(table(spark, sf_dir, "candidate"), "id", "source", "teaser"))
+
+
+QUERIES |= {"p6_found": p6_found, "p6_sources": p6_sources}
