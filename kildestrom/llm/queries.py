@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kildestrom.llm.history import RunStore, entries, screen
 from kildestrom.llm.lookalikes import bigram_model, disguised_fields
 from kildestrom.llm.neardup import near_groups
+from kildestrom.llm.quality import structural_kinds, text_statistics
 from kildestrom.llm.truncation import judged, source_shares
 from kildestrom.session import cut, table
 
@@ -73,3 +74,28 @@ def p6_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found, "p6_sources": p6_sources}
+
+
+def _common_words(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The table of common words, a few hundred at most."""
+    return sorted(r.word for r in table(spark, sf_dir, "common_word").select(F.lower("word").alias("word")).distinct().limit(10_000).collect())
+
+
+def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its structural kind and its shares of characters by kind."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return structural_kinds(docs, "doc_id", "text", "lang", frozenset(_common_words(spark, sf_dir))).withColumnRenamed("key", "doc_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are lists, tables or junk."""
+    return p9_kinds(spark, sf_dir).filter("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basic text statistics of every document."""
+    common = F.array(*[F.lit(w) for w in _common_words(spark, sf_dir)])
+    return table(spark, sf_dir, "documents").select("doc_id", *text_statistics(F.col("text"), common))
+
+
+QUERIES |= {"p9_found": p9_found, "p9_kinds": p9_kinds, "p9_statistics": p9_statistics}
