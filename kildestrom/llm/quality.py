@@ -107,7 +107,7 @@ def segments(text: str, common: frozenset[str]) -> list[tuple[int, int, int, int
             repeated = len(bare)  # the words of a menu on one line
         often = function >= _PROSE_SHARE * len(bare) and len(words) >= 3 or known and len(words) >= 6
         prose = not repeated and often and sum(map(str.isdigit, bare)) < 0.25 * len(bare)
-        rows.append((at, at + len(line) + 1, 0 if repeated else function, repeated, int(prose)))
+        rows.append((at, at + len(line) + 1, 0 if repeated else function, repeated, int(bool(prose))))
     sorts = [r[4] for r in rows]
     n = len(sorts)
     for k in range(n):  # a line of wrapped prose may lack function words

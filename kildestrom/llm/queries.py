@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from kildestrom.llm.history import RunStore, entries, screen
 from kildestrom.llm.lookalikes import bigram_model, disguised_fields
+from kildestrom.llm.mixing import mixture, mixture_report
 from kildestrom.llm.neardup import near_groups
+from kildestrom.llm.packing import pack, packing_report
 from kildestrom.llm.quality import structural_kinds, text_statistics
+from kildestrom.llm.tokens import token_count
 from kildestrom.llm.truncation import judged, source_shares
 from kildestrom.session import cut, table
 
@@ -99,3 +102,32 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p9_found": p9_found, "p9_kinds": p9_kinds, "p9_statistics": p9_statistics}
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their size in tokens, written once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"))
+    return cut(docs, "tokens")
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in containers of every capacity."""
+    return pack(_sized(spark, sf_dir), table(spark, sf_dir, "container_spec"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing_report(p7_packed(spark, sf_dir))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of every mixture with their copies."""
+    return mixture(_sized(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached shares."""
+    return mixture_report(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+
+
+QUERIES |= {"p7_packed": p7_packed, "p7_report": p7_report, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
