@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kildestrom.llm.lookalikes import _CODE, _SIZE, bigram_model
+from kildestrom.session import cut
 
 KINDS = ["prose", "list", "table", "junk"]
 CLASSES = ["function words", "letters", "odd letters", "digits", "blanks", "sentence signs", "cell marks", "symbols", "line ends", "repeated lines", "aligned rows"]
@@ -183,52 +184,84 @@ def _rare_pairs(model: np.ndarray) -> np.ndarray:
     return rare.ravel()
 
 
-def prose_profiles(df: DataFrame, text: str, lang: str, common: frozenset[str], rare: np.ndarray) -> dict[str, np.ndarray]:
+#: Characters whose segments are measured together; a longer text is measured alone.
+CHUNK_CHARACTERS = 1_000_000
+
+
+def _measured(key: str, text: str, lang: str, common: frozenset[str], rare: np.ndarray):
+    """Arrow batches of documents -> one row a document with its segments' sorts, sizes and distributions."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x or "" for x in b[text].to_pylist()]
+            start = 0
+            while start < len(texts):
+                end, total = start + 1, len(texts[start])
+                while end < len(texts) and total + len(texts[end]) <= CHUNK_CHARACTERS:
+                    total += len(texts[end])
+                    end += 1
+                doc, size, dist, sort = _distributions(texts[start:end], common, rare)
+                offsets = pa.array(np.searchsorted(doc, np.arange(end - start + 1)).astype("int32"))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(sort.astype("int8"))), pa.ListArray.from_arrays(offsets, pa.array(size.astype("float32")))]
+                flat = pa.ListArray.from_arrays(pa.array((offsets.to_numpy() * len(CLASSES)).astype("int32")), pa.array(dist.astype("float32").ravel()))
+                yield pa.RecordBatch.from_arrays([b[key][start:end], b[lang][start:end], *lists, flat], ["key", "lang", "sort", "size", "dist"])
+                start = end
+
+    return rows
+
+
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    doc = np.repeat(np.arange(b.num_rows), np.diff(b["size"].offsets.to_numpy()))
+    take = lambda c: b[c].flatten().to_numpy(zero_copy_only=False)
+    return doc, take("size").astype(float), take("dist").astype(float).reshape(-1, len(CLASSES)), take("sort")
+
+
+def prose_profiles(measured: DataFrame) -> dict[str, np.ndarray]:
     """Mean distribution of segments with function words per language, over all documents; few languages are expected."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
         for b in batches:
-            langs = [x or "" for x in b[lang].to_pylist()]
-            doc, size, dist, sort = _distributions([x or "" for x in b[text].to_pylist()], common, rare)
-            keep = sort == 1
-            found: dict[str, np.ndarray] = {}
-            for d, s, row in zip(doc[keep], size[keep], dist[keep], strict=True):
-                found[langs[d]] = found.get(langs[d], 0) + np.r_[s, s * row]
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v.tolist() for v in found.values()], pa.list_(pa.float64()))], ["lang", "total"])
-
-    parts = df.select(text, lang).mapInArrow(sums, "lang string, total array<double>")
+            langs = [x or "" for x in b["lang"].to_pylist()]
+            doc, size, dist, sort = _flat(b)
+            for name in set(langs):
+                keep = (np.array([x == name for x in langs])[doc] if len(doc) else np.zeros(0, bool)) & (sort == 1)
+                found[name] = found.get(name, 0) + np.r_[size[keep].sum(), (size[keep, None] * dist[keep]).sum(axis=0)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v.tolist() for v in found.values()], pa.list_(pa.float64()))], ["lang", "total"])
+
+    parts = measured.select("lang", "sort", "size", "dist").mapInArrow(sums, "lang string, total array<double>")
     flat = parts.groupBy("lang").agg(*[F.sum(F.col("total")[k]).alias(f"c{k}") for k in range(len(CLASSES) + 1)])
-    return {r["lang"]: np.array(r[2:]) / max(r[1], 1e-9) for r in flat.orderBy(F.desc("c0")).limit(100).collect()}
+    return {r["lang"]: np.array(r[2:]) / r[1] for r in flat.orderBy(F.desc("c0")).limit(100).collect() if r[1] > 0}
 
 
 def structural_kinds(df: DataFrame, key: str, text: str, lang: str, common: frozenset[str]) -> DataFrame:
     """Rows (key, kind, prose, list, table, junk): the kind of every document and its shares of characters by kind.
 
-    A document without characters is prose by definition of no other kind; nulls count as empty. Documents of a
-    language without prose are compared with all languages' profiles; the whole text is read.
+    A document without characters is prose by definition of no other kind; nulls count as empty. Every segment is
+    compared with the profiles of all languages; the whole text is read, once.
     """
     rare = _rare_pairs(bigram_model(df, [text]))
-    prose = prose_profiles(df, text, lang, common, rare)
+    kind_type = df.schema[key].dataType.simpleString()
+    columns = f"key {kind_type}, lang string, sort array<tinyint>, size array<float>, dist array<float>"
+    measured = cut(df.select(key, text, lang).mapInArrow(_measured(key, text, lang, common, rare), columns), "segments")
+    prose = prose_profiles(measured)
     table = [*((("prose", v) for v in prose.values())), *((k, np.r_[np.array(v) / sum(v) * (1 - x), x]) for k, x, v in PROFILES)]
     profiles, kind_of = np.array([v for _, v in table]), np.array([KINDS.index(k) for k, _ in table])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x or "" for x in b[text].to_pylist()]
-            doc, size, dist, sort = _distributions(texts, common, rare)
-            total = np.zeros((len(texts), len(KINDS)))
+            doc, size, dist, sort = _flat(b)
+            total = np.zeros((b.num_rows, len(KINDS)))
             if len(doc):
                 far = jensen_shannon(dist, profiles)
                 far[np.ix_(sort == 1, np.isin(kind_of, [1, 2]))] = np.inf  # lines with function words are no entries or cells
-                kinds = kind_of[far.argmin(axis=1)]
-                np.add.at(total, (doc, kinds), size)
+                np.add.at(total, (doc, kind_of[far.argmin(axis=1)]), size)
             share = total / np.maximum(total.sum(axis=1, keepdims=True), 1)
-            best = share.argmax(axis=1)
-            clear = (share[np.arange(len(best)), best] > 0.5) | (share[:, 0] < 0.5)
-            best = np.where(clear, np.where(share[:, 0] >= 0.5, 0, np.where(best == 0, share[:, 1:].argmax(axis=1) + 1, best)), 0)
-            yield pa.RecordBatch.from_arrays([b[key], pa.array(np.array(KINDS)[best]), *[pa.array(share[:, k]) for k in range(4)]], ["key", "kind", *KINDS])
+            other = share[:, 1:].argmax(axis=1) + 1
+            most = (share[:, 0] < 0.5) & (total.sum(axis=1) > 0)
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array(np.array(KINDS)[np.where(most, other, 0)]), *[pa.array(share[:, k]) for k in range(4)]], ["key", "kind", *KINDS])
 
-    return df.select(key, text).mapInArrow(judge, f"key {df.schema[key].dataType.simpleString()}, kind string, prose double, list double, table double, junk double")
+    return measured.select("key", "sort", "size", "dist").mapInArrow(judge, f"key {kind_type}, kind string, prose double, list double, table double, junk double")
 
 
 def text_statistics(text: Column, common: Column) -> list[Column]:
