@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 # Letters that no decomposition folds, in the two spellings that searches use.
@@ -16,13 +17,13 @@ LONG_FOLD = [("å", "aa"), ("ø", "oe"), ("æ", "ae"), ("ß", "ss")]
 SHORT_FOLD = [("å", "a"), ("ø", "o"), ("æ", "ae"), ("ß", "ss")]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda t: t if t is None else unicodedata.normalize("NFC", html.unescape(html.unescape(t))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without_accents(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda t: t if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
@@ -118,7 +119,7 @@ def copied(text: Column, original: Column, run: int = 5, share: float = 0.5) ->
     return F.arrays_overlap(grams(text, run + 1), grams(original, run + 1)) | ((F.size(own) >= 4) & (common > share * F.size(own)))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def longest_shared_run(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest run of words in both texts."""
 
