@@ -13,7 +13,9 @@ BAD = "_corrupt_record"
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Rows of JSON lines, and the lines that are none."""
-    whole = spark.read.schema(schema.add(BAD, T.StringType()) if BAD not in schema.names else schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path)
+    full = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    whole = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r")).select("r.*")
     return whole.filter(F.col(BAD).isNull()).drop(BAD), whole.filter(F.col(BAD).isNotNull()).select(BAD)
 
 
@@ -39,7 +41,7 @@ def sniffed_csv(spark: SparkSession, path: str) -> DataFrame:
     try:
         text, name = bytes(head).decode("utf-8-sig"), "UTF-8"
     except UnicodeDecodeError:
-        text, name = bytes(head).decode("cp1252", "replace"), "windows-1252"
+        text, name = bytes(head).decode("cp1252", "replace"), "ISO-8859-1"
     try:
         mark = csv.Sniffer().sniff(text, delimiters=",;\t|").delimiter
     except csv.Error:
