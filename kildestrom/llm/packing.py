@@ -19,6 +19,8 @@ from kildestrom.session import cut
 
 #: Items of a shard on average, and how many shards are gathered into one for the second filling.
 SHARD_ITEMS, GATHER = 4_000, 16
+#: Specs that are filled in one call; a spec table holds a few.
+MOST_SPECS = 1_000
 #: Containers that are fuller stay as they are in the second filling.
 FULL = 0.995
 
@@ -87,7 +89,10 @@ def pack(items: DataFrame, specs: DataFrame, shard_items: int = SHARD_ITEMS) ->
     size = F.coalesce(F.col("n_tokens"), F.lit(0))
     n = items.count()
     shards = max(1, round(n / shard_items))
-    spread = items.select("doc_id", size.alias("n_tokens")).crossJoin(F.broadcast(specs.limit(1000).select("spec_id", F.col("capacity_tokens").cast("bigint").alias("capacity"))))
+    wanted = [F.struct(F.lit(r.spec_id).cast("int").alias("spec_id"), F.lit(r.capacity_tokens).cast("bigint").alias("capacity")) for r in specs.filter("capacity_tokens > 0").select("spec_id", "capacity_tokens").distinct().limit(MOST_SPECS).collect()]
+    if not wanted:
+        wanted = [F.lit(None).cast("struct<spec_id:int,capacity:bigint>")]
+    spread = items.select("doc_id", size.alias("n_tokens"), F.explode(F.array(*wanted)).alias("spec")).filter("spec is not null").select("doc_id", "n_tokens", "spec.*")
     pieces = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")), F.lit(1)).cast("bigint")
     each = spread.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)))
     each = each.withColumn("n_tokens", F.least(F.col("capacity"), F.col("n_tokens") - F.col("piece") * F.col("capacity")))
