@@ -24,9 +24,9 @@ from kildestrom.session import cut
 
 SIMILARITY = Fraction(3, 4)
 #: Words whose frequency is tracked; the others count as rarest and are ordered by hash.
-FREQUENT_WORDS = 5_000
-#: Most sets in one tree; a word with more gets several trees, each searched by all sets of the word.
-TREE_SETS = 20_000
+FREQUENT_WORDS = 20_000
+#: Sets in one tree, and queries of one task, on average at most: a hot word gets a grid of trees and blocks of queries.
+TREE_SETS, MOST_TREES = 20_000, 60_000
 #: Rows that are searched together, and pairs of a query and a node that are visited at once.
 CHUNK_ROWS, FRONTIER = 50_000, 1_000_000
 
@@ -96,12 +96,13 @@ def _ceil(x: Fraction, n: np.ndarray) -> np.ndarray:
 def _prefix_rows(frequent: dict[int, tuple[int, int]], similarity: Fraction):
     """Arrow batches (h, sketch, wh) -> rows (shard, h, sketch, meta): each set under each word of its prefix.
 
-    meta holds the set's size times two, plus one if it is a node there and not only a query. frequent has rank and
-    count of the tracked words.
+    meta holds the set's size times four, plus one if it is a node there, plus two if it is a query. frequent has rank
+    and count of the tracked words. A word with t trees has t times t cells: a set is a node of one tree, in the cells
+    of all blocks of queries, and a query of one block, in the cells of all trees.
     """
     known = np.array(sorted(frequent), "int64")
     rank_of = np.array([frequent[w][0] for w in known.tolist()], "int64")
-    trees_of = np.array([-(-frequent[w][1] // TREE_SETS) for w in known.tolist()], "int64")
+    trees_of = np.array([min(-(-frequent[w][1] // TREE_SETS), MOST_TREES) for w in known.tolist()], "int64")
     index = 2 * similarity / (1 + similarity)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,13 +133,17 @@ def _prefix_rows(frequent: dict[int, tuple[int, int]], similarity: Fraction):
             row, word, place, pick = of[keep], w[order][keep], place[keep], order[keep]
             is_node = (place < node[row]).astype("int64")
             trees = np.where(is_known[pick], trees_of[at[pick]] if len(known) else 1, 1)
-            meta = size[row] * 2
             own = np.abs(h[row]) % trees
-            # a node lies in one tree of its word, a query goes through all of them
             many = np.repeat(np.arange(len(row)), trees)
-            tree = np.arange(len(many)) - np.repeat(np.cumsum(trees) - trees, trees)
-            shard = (word[many] << 20) | tree
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(h[row][many]), pa.array(sketch[row][many]), pa.array((meta[many] + is_node[many] * (tree == own[many])).astype("int32"))], ["shard", "h", "sketch", "meta"])
+            other = np.arange(len(many)) - np.repeat(np.cumsum(trees) - trees, trees)
+            mine, is_node = own[many], is_node[many]
+            asks = (word[many] << 32) | (other << 16) | mine  # cell (tree, block)
+            holds = (word[many] << 32) | (mine << 16) | other
+            apart = (is_node == 1) & (other != mine)
+            shard = np.concatenate([asks, holds[apart]])
+            meta = np.concatenate([size[row][many] * 4 + 2 + (is_node & (other == mine)), size[row][many][apart] * 4 + 1])
+            many = np.concatenate([many, many[apart]])
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(h[row][many]), pa.array(sketch[row][many]), pa.array(meta.astype("int32"))], ["shard", "h", "sketch", "meta"])
 
     return rows
 
@@ -148,12 +153,12 @@ def _search_rows(similarity: Fraction):
     slack = (1 - similarity) / similarity
 
     def find(shard: np.ndarray, h: np.ndarray, sketch: np.ndarray, meta: np.ndarray) -> pa.RecordBatch:
-        bits, size, is_node = sketch.view("uint64"), (meta >> 1).astype("int64"), (meta & 1) == 1
+        bits, size, is_node, is_query = sketch.view("uint64"), (meta >> 2).astype("int64"), (meta & 1) == 1, (meta & 2) == 2
         order = np.lexsort((sketch, h, shard))
         fresh = np.ones(len(order), bool)
         s, hh, kk = shard[order], h[order], sketch[order]
         fresh[1:] = (s[1:] != s[:-1]) | (hh[1:] != hh[:-1]) | (kk[1:] != kk[:-1])  # copies from other partitions
-        keep = order[fresh]
+        keep = order[fresh]  # a set has one part in a cell, or both in one row
         nodes = keep[is_node[keep]]
         codes = np.unique(shard[keep], return_inverse=True)[1]
         code = np.zeros(len(shard), "int64")
@@ -162,7 +167,7 @@ def _search_rows(similarity: Fraction):
         root = np.full(codes.max() + 1 if len(codes) else 1, -1)
         for c, r in forest.root_of.items():
             root[c] = r
-        queries = keep[root[code[keep]] >= 0]
+        queries = keep[(root[code[keep]] >= 0) & is_query[keep]]
         radius = (size[queries] * slack.numerator) // slack.denominator
         q, at = forest.search(root[code[queries]], bits[queries], radius)
         a, b = queries[q], nodes[at]
