@@ -203,15 +203,20 @@ def _search_rows(similarity: Fraction):
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (key, wh) -> (key, h, sketch, wh) of the sets that have a word; h sums the words' mixed hashes."""
     for b in batches:
+        b = b.filter(pa.array(np.diff(b["wh"].offsets.to_numpy()) > 0))
+        if not b.num_rows:
+            continue
         size = np.diff(b["wh"].offsets.to_numpy())
-        bits = np.left_shift(np.uint64(1), (b["wh"].flatten().to_numpy(zero_copy_only=False).astype("int64") & 63).astype("uint64"))
-        sketch = np.zeros(len(size), "uint64")
-        filled = size > 0
-        if filled.any():
-            starts = (np.cumsum(size) - size)[filled]
-            sketch[filled] = np.bitwise_xor.reduceat(bits, starts)
-        yield pa.RecordBatch.from_arrays([b["key"], b["h"], pa.array(sketch.view("int64")), b["wh"]], ["key", "h", "sketch", "wh"])
+        w = b["wh"].flatten().to_numpy(zero_copy_only=False).astype("int64").view("uint64")
+        starts = np.cumsum(size) - size
+        sketch = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), w & np.uint64(63)), starts)
+        x = w + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = np.add.reduceat(x ^ (x >> np.uint64(31)), starts)
+        yield pa.RecordBatch.from_arrays([b["key"], pa.array(h.view("int64")), pa.array(sketch.view("int64")), b["wh"]], ["key", "h", "sketch", "wh"])
 
 
 def near_links(sets: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
@@ -237,8 +242,8 @@ def near_groups(df: DataFrame, key: str, fields: list[str], similarity: Fraction
     empty; records without a word and records with a null key are left out; exact repeats of a row count once.
     """
     text = F.concat_ws(" ", *[F.col(f) for f in fields])
-    sets = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), word_hashes(text).alias("wh")).filter(F.size("wh") > 0)
-    sets = sets.withColumn("h", F.xxhash64("wh")).select("key", "h", "wh").mapInArrow(_sketched, f"key {df.schema[key].dataType.simpleString()}, h bigint, sketch bigint, wh array<int>")
+    sets = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), word_hashes(text).alias("wh"))
+    sets = sets.mapInArrow(_sketched, f"key {df.schema[key].dataType.simpleString()}, h bigint, sketch bigint, wh array<int>")
     sets = cut(sets, "sets")
     name = lambda h, s: F.concat(F.lpad(F.hex(h), 16, "0"), F.lpad(F.hex(s), 16, "0"))
     links = near_links(sets, similarity).select(name(F.col("ha"), F.col("sa")).alias("a"), name(F.col("hb"), F.col("sb")).alias("b"))
