@@ -147,8 +147,9 @@ def page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sitemap_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the sitemap of every source, the three newest addresses."""
-    rows = _c(spark, sf_dir).filter("url not like '%&%' and url not like '%<%'")
-    doc = F.concat(F.lit("<urlset><url><loc>"), F.col("url"), F.lit("</loc><lastmod>"), F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss"), F.lit("</lastmod></url></urlset>"))
+    escape = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    rows = _c(spark, sf_dir)
+    doc = F.concat(F.lit("<urlset><url><loc>"), escape(F.col("url")), F.lit("</loc><lastmod>"), F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss"), F.lit("</lastmod></url></urlset>"))
     places = rows.select("source", F.explode(feeds.sitemap(doc)["places"]).alias("p")).select("source", "p.loc", "p.lastmod")
     return ranking.top_per(places, ["source"], [F.col("lastmod").desc(), F.col("loc")], 3).select("source", "rank", "loc", "lastmod")
 
