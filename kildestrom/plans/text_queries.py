@@ -56,7 +56,7 @@ def unknown_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles for comparison, with word counts and short forms."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
-    return rows.select("doc_id", text.title_key(F.col("title")).alias("title_key"), text.word_count(F.col("title")).alias("n_words"), text.slug(F.substring("title", 1, 60)).alias("slug"))
+    return rows.select("doc_id", text.title_key(F.col("title")).alias("title_key"), text.word_count(F.col("title")).alias("n_words"), text.slug(F.col("title")).alias("slug"))
 
 
 def clean_teasers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,3 +16,12 @@ def test_sitemap_newest_keeps_addresses_with_signs(spark, tmp_path):
     d = _table(spark.createDataFrame(rows, "id string, source string, url string, first_seen timestamp"), tmp_path, "candidate")
     got = {(r.rank, r.loc) for r in text_queries.sitemap_newest(spark, d).collect()}
     assert got == {(k + 1, u) for k, u in enumerate(urls[:3])}
+
+
+def test_title_keys_slug_the_whole_title(spark, tmp_path):
+    start = "Kommunen henter affald i alle byens gader og stræder hver eneste "
+    rows = [(1, start + "mandag\nTekst"), (2, start + "fredag\nTekst"), (3, "")]
+    d = _table(spark.createDataFrame(rows, "doc_id bigint, text string"), tmp_path, "documents")
+    got = {r.doc_id: r.slug for r in text_queries.title_keys(spark, d).collect()}
+    whole = "kommunen-henter-affald-i-alle-byens-gader-og-straeder-hver-eneste-"
+    assert got == {1: whole + "mandag", 2: whole + "fredag", 3: ""}
