@@ -60,8 +60,8 @@ def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_teasers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Teasers without markup and entities, cut at 120 characters."""
-    return _c(spark, sf_dir).select("id", text.clean_text(F.col("teaser"), 120).alias("teaser"))
+    """Teasers without markup and entities, cut at 300 characters as on intake."""
+    return _c(spark, sf_dir).select("id", text.clean_text(F.col("teaser")).alias("teaser"))
 
 
 def stripped_titles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,3 +25,11 @@ def test_title_keys_slug_the_whole_title(spark, tmp_path):
     got = {r.doc_id: r.slug for r in text_queries.title_keys(spark, d).collect()}
     whole = "kommunen-henter-affald-i-alle-byens-gader-og-straeder-hver-eneste-"
     assert got == {1: whole + "mandag", 2: whole + "fredag", 3: ""}
+
+
+def test_clean_teasers_keep_what_intake_keeps(spark, tmp_path):
+    whole = " ".join(f"ord{k:04}" for k in range(37))  # 295 characters
+    rows = [("a", f"<p>{whole}</p>", dt.datetime(2026, 1, 1)), ("b", whole + " " + whole, dt.datetime(2026, 1, 1)), ("c", None, dt.datetime(2026, 1, 1))]
+    d = _table(spark.createDataFrame(rows, "id string, teaser string, first_seen timestamp"), tmp_path, "candidate")
+    got = {r.id: r.teaser for r in text_queries.clean_teasers(spark, d).collect()}
+    assert got == {"a": whole, "b": whole + "…", "c": None}
