@@ -189,7 +189,21 @@ class RunStore:
         words = own if past is None else _titles(past).select("t1", "t2", "wl").unionByName(own).groupBy("t1", "t2").agg(F.first("wl").alias("wl"))
         late_words = own.select(F.col("t1").alias("b_t1"), F.col("t2").alias("b_t2"), F.col("wl").alias("b_wl"))
         both = pairs.join(late_words, ["b_t1", "b_t2"]).join(words, ["t1", "t2"])
-        return both.filter(word_distance(F.col("wl"), F.col("b_wl")) <= EDITS).select(F.col("b_t1").alias("t1"), F.col("b_t2").alias("t2")).distinct()
+        close = both.filter(word_distance(F.col("wl"), F.col("b_wl")) <= EDITS).select(F.col("b_t1").alias("t1"), F.col("b_t2").alias("t2"))
+        return close.unionByName(self._near_short(titles, past)).distinct()
+
+    @staticmethod
+    def _near_short(titles: DataFrame, past: DataFrame | None) -> DataFrame:
+        """Titles of at most EDITS words after another of the same numbers: any two are within the limit, without a common word.
+
+        The first row of each set of numbers decides, so no pairs are formed.
+        """
+        short = titles.filter(F.size("wl") <= EDITS).select("t1", "t2", "first", "numbers")
+        every = short.select("numbers", "first")
+        if past is not None:
+            every = every.unionByName(past.filter((F.size("wl") <= EDITS) & F.col("t1").isNotNull()).select("numbers", F.col("ord").alias("first")))
+        least = every.groupBy("numbers").agg(F.min("first").alias("least"))
+        return short.join(least, "numbers").filter("least < first").select("t1", "t2")
 
 
 def word_distance(a: Column, b: Column) -> Column:
