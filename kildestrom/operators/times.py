@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_ZONE = "Europe/Copenhagen"
-FIRST_YEAR, LAST_YEAR = 2000, 2100
+FIRST_YEAR = 2000
+# Zone tables end here; later years take the offsets of the year among these 28 that has the same calendar, as the last rules recur.
+LAST_YEARS = range(2101, 2129)
 
 # Month names in Danish, Swedish and English with their abbreviations.
 MONTHS = {
@@ -80,8 +82,6 @@ _PARSERS = [(re.compile(f), _values(f)) for f in [_EPOCH, *_FORMS]]
 @functools.lru_cache(maxsize=100_000)
 def parser_of(mask: str) -> re.Pattern[str] | None:
     """The value pattern for a mask, or None if texts of this shape denote nothing."""
-    if len(mask) > 64:
-        return None
     for over_mask, over_values in _PARSERS:
         if over_mask.fullmatch(mask):
             return over_values
@@ -94,6 +94,27 @@ def shape_mask(text: Column) -> Column:
     return F.regexp_replace(one, "[0-9]", "9")
 
 
+def _new_year(year: np.ndarray) -> np.ndarray:
+    """Days from 1970 to the first of January."""
+    return (year - 1970).astype("datetime64[Y]").astype("datetime64[D]").astype("int64")
+
+
+def _calendar(year: np.ndarray) -> np.ndarray:
+    """One of 14 calendars: the weekday of the first of January, and whether it is a leap year."""
+    return _new_year(year) % 7 * 2 + (_new_year(year + 1) - _new_year(year) == 366)
+
+
+_SAME_CALENDAR = np.zeros(14, "int64")
+_SAME_CALENDAR[_calendar(np.array(LAST_YEARS))] = np.array(LAST_YEARS)
+
+
+def _within_tables(local_us: np.ndarray) -> np.ndarray:
+    """Local times past the tables moved to the year of the same calendar within them."""
+    year = local_us.astype("datetime64[us]").astype("datetime64[Y]").astype("int64") + 1970
+    inside = np.where(year > LAST_YEARS[-1], _SAME_CALENDAR[_calendar(year)], year)
+    return local_us - (_new_year(year) - _new_year(inside)) * 86_400_000_000
+
+
 @dataclass(frozen=True)
 class ZoneTable:
     """Transitions of a zone in local microseconds, each valid from its threshold on, under a rules version."""
@@ -104,6 +125,7 @@ class ZoneTable:
 
     def offset_us(self, local_us: np.ndarray) -> np.ndarray:
         """Offsets for local times: the first of two readings, and the earlier offset inside a gap."""
+        local_us = _within_tables(local_us)
         return self.offsets[np.searchsorted(self.thresholds, local_us, side="right")]
 
 
@@ -116,7 +138,7 @@ def zone_tables(spark: SparkSession, names: list[str]) -> dict[str, ZoneTable]:
         rules = zone_id.of(name).getRules()
         at = instant.parse("1999-12-01T00:00:00Z")
         thresholds, offsets = [], [rules.getOffset(at).getTotalSeconds()]
-        while (t := rules.nextTransition(at)) is not None and t.toEpochSecond() < (LAST_YEAR - 1970) * 31_556_952:
+        while (t := rules.nextTransition(at)) is not None and t.toEpochSecond() < (LAST_YEARS[-1] + 2 - 1970) * 31_556_952:
             before, after = t.getOffsetBefore().getTotalSeconds(), t.getOffsetAfter().getTotalSeconds()
             thresholds.append(t.toEpochSecond() + max(before, after))
             offsets.append(after)
@@ -174,7 +196,7 @@ def _convert(texts: pd.Series, zones: pd.Series, pattern: re.Pattern[str], table
         months = ((year - 1970) * 12 + np.where(ok, month, 1) - 1).astype("datetime64[M]")
         days = months.astype("datetime64[D]") + (np.where(ok, day, 1) - 1)
         ok &= days.astype("datetime64[M]") == months
-    ok &= (year >= FIRST_YEAR) & (year < LAST_YEAR)
+    ok &= year >= FIRST_YEAR
     hour, minute, second = _number(found, "H"), _number(found, "I"), _number(found, "C")
     half = _words(found, "A", _AMPM, -1, _BAD)
     zone = _words(found, "Z", ZONES, -9999, _BAD)
@@ -238,7 +260,9 @@ def utc_micros(spark: SparkSession, zone_names: list[str]):
     convert = _to_utc(zone_tables(spark, zone_names))
 
     def apply(text: Column, zone: Column) -> Column:
-        short = F.when(F.length(text) <= 200, text)  # no form is longer
+        bare = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+        bare = F.regexp_replace(bare, "([.,][0-9]{6})[0-9]+", "$1")  # digits beyond microseconds are dropped
+        short = F.when(F.length(bare) <= 200, bare)  # no form is longer
         return convert(short, shape_mask(short), zone)
 
     return apply

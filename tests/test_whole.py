@@ -33,3 +33,37 @@ def test_clean_teasers_keep_what_intake_keeps(spark, tmp_path):
     d = _table(spark.createDataFrame(rows, "id string, teaser string, first_seen timestamp"), tmp_path, "candidate")
     got = {r.id: r.teaser for r in text_queries.clean_teasers(spark, d).collect()}
     assert got == {"a": whole, "b": whole + "…", "c": None}
+
+
+def test_far_years_padded_texts_and_long_fractions_denote_instants(spark):
+    from pyspark.sql import functions as F
+
+    from kildestrom.operators.times import utc_micros
+
+    cases = {
+        "9999-12-31": "9999-12-30T23:00:00",
+        "2100-07-01 12:00": "2100-07-01T10:00:00",
+        "3000-03-30 03:30": "3000-03-30T01:30:00",  # the last Sunday of March
+        "3000-03-29 03:30": "3000-03-29T02:30:00",
+        "2400-02-29T12:00:00Z": "2400-02-29T12:00:00",
+        " " * 150 + "2026-10-25" + " " * 150: "2026-10-24T22:00:00",
+        "2024-09-12T12:00:00." + "1234567" * 40 + "Z": "2024-09-12T12:00:00.123456",
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    got = {r.t: r.us for r in df.select("t", utc_micros(spark, [])(F.col("t"), F.lit(None).cast("string")).alias("us")).collect()}
+    assert got == {t: (dt.datetime.fromisoformat(w) - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1) for t, w in cases.items()}
+
+
+def test_years_past_the_zone_tables_follow_the_last_rules(spark):
+    import numpy as np
+
+    from kildestrom.operators.times import zone_tables
+
+    zones = spark.sparkContext._jvm.java.time
+    for name in ("Europe/Copenhagen", "America/St_Johns", "Africa/Casablanca", "Australia/Sydney"):
+        table, rules = zone_tables(spark, [name])[name], zones.ZoneId.of(name).getRules()
+        for year in (2099, 2128, 2129, 2200, 2400, 2777, 9999):
+            for month in range(1, 13):
+                local = zones.LocalDateTime.of(year, month, 27, 12, 0)
+                us = (dt.datetime(year, month, 27, 12) - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+                assert table.offset_us(np.array([us]))[0] == rules.getOffset(local).getTotalSeconds() * 1_000_000, (name, year, month)
