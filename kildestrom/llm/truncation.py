@@ -27,8 +27,6 @@ from kildestrom.session import small_side
 BUCKETS = 1 << 17
 #: Share of cut values that is assumed where lengths tell nothing.
 BACKGROUND = 0.03
-#: Lengths from here on share one bin of a source's histogram.
-LONGEST = 4000
 
 # Signs and words that mark a cut at the end of a text.
 MARKS = re.compile(
@@ -192,9 +190,10 @@ def _posteriors(histogram: pd.DataFrame) -> pd.DataFrame:
     h = histogram.sort_values("length")
     length, n = h["length"].to_numpy(), h["n"].to_numpy().astype(float)
     total, out = n.sum(), []
-    for at, count in zip(length, n, strict=True):
-        near = n[(np.abs(length - at) <= 8) & (length != at)].sum() / 16
-        if at >= LONGEST or count < 5 or count < 5 * max(near, 0.3):
+    upto = np.r_[0, n.cumsum()]
+    around = (upto[np.searchsorted(length, length + 8, "right")] - upto[np.searchsorted(length, length - 8)] - n) / 16
+    for at, count, near in zip(length, n, around, strict=True):
+        if count < 5 or count < 5 * max(near, 0.3):
             continue
         mu, sigma = censored_fit(length, n, at)
         z = (at - mu) / sigma
@@ -204,8 +203,8 @@ def _posteriors(histogram: pd.DataFrame) -> pd.DataFrame:
 
 
 def length_limits(df: DataFrame, source: str, text: str) -> DataFrame:
-    """Rows (source, length, n, mu, sigma, posterior) of likely field limits; a source's histogram has LONGEST bins at most."""
-    length = F.least(F.length(text), F.lit(LONGEST)).alias("length")
+    """Rows (source, length, n, mu, sigma, posterior) of likely field limits; a source's histogram has its distinct lengths."""
+    length = F.length(text).alias("length")
     histogram = df.filter(F.length(text) > 0).groupBy(F.coalesce(F.col(source), F.lit("")).alias("source"), length).agg(F.count("*").alias("n"))
     return histogram.groupBy("source").applyInPandas(_posteriors, "source string, length int, n bigint, mu double, sigma double, posterior double")
 
@@ -260,7 +259,7 @@ def judged(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text")).filter(F.length(F.trim("text")) > 0)
     judge = _evidence(learn_endings(rows.select("text")))
     limits = length_limits(rows, "source", "text").select("source", "length", "posterior")
-    seen = rows.select("key", "source", F.least(F.length("text"), F.lit(LONGEST)).alias("length"), judge(F.col("text")).alias("e")).select("key", "source", "length", "e.*").distinct()
+    seen = rows.select("key", "source", F.length("text").alias("length"), judge(F.col("text")).alias("e")).select("key", "source", "length", "e.*").distinct()
     # how a source ends its complete texts: with a stop, or without
     likely = F.when(F.col("stopped"), 1.0).otherwise(0.0)
     bare = F.when(~F.col("stopped") & ~F.col("marked"), 1 / (1 + F.exp("odds"))).otherwise(0.0)

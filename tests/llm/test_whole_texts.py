@@ -35,3 +35,10 @@ def test_short_titles_need_no_common_word(spark, bounds):
         got |= {r.ord for r in screen(store, batch).collect()}
         store.add(batch)
     assert got == want
+
+
+def test_field_limits_are_found_at_any_length(spark):
+    free = [("s", 3000 + 37 * k) for k in range(60)]
+    rows = [(s, "x" * n) for s, n in free + [("s", 5000)] * 40]
+    found = {r.length: r.posterior for r in length_limits(spark.createDataFrame(rows, "source string, text string"), "source", "text").collect()}
+    assert set(found) == {5000} and found[5000] > 0.5
