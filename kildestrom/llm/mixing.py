@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kildestrom.session import cut
+from kildestrom.session import collect_small, cut
 
 #: Tokens of a block, at most, and blocks of a mixture, at least.
 BLOCK_TOKENS, LEAST_BLOCKS = 128, 1_000
@@ -76,8 +76,9 @@ def mixture(items: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     (at most MIX_ROWS rows). No document comes more than max_repeats times.
     """
     sized = items.filter("n_tokens > 0 and source is not null")
-    wanted = targets.limit(MIX_ROWS).toPandas()
-    names = F.broadcast(targets.limit(MIX_ROWS).select("source").distinct())
+    collect_small(targets.select(F.lit(1)), MIX_ROWS, "mix targets")
+    wanted = targets.toPandas()
+    names = F.broadcast(targets.select("source").distinct())
     sized = cut(sized.join(names, "source", "left_semi").select("doc_id", "source", "n_tokens"), "sized")
     totals = {r.source: r.tokens for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}  # sources of targets only
     spark = sized.sparkSession

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kildestrom.session import cut
+from kildestrom.session import collect_small, cut
 
 #: Items of a shard on average, and how many shards are gathered into one for the second filling.
 SHARD_ITEMS, GATHER = 4_000, 16
@@ -89,7 +89,7 @@ def pack(items: DataFrame, specs: DataFrame, shard_items: int = SHARD_ITEMS) ->
     size = F.coalesce(F.col("n_tokens"), F.lit(0))
     n = items.count()
     shards = max(1, round(n / shard_items))
-    wanted = [F.struct(F.lit(r.spec_id).cast("int").alias("spec_id"), F.lit(r.capacity_tokens).cast("bigint").alias("capacity")) for r in specs.filter("capacity_tokens > 0").select("spec_id", "capacity_tokens").distinct().limit(MOST_SPECS).collect()]
+    wanted = [F.struct(F.lit(r.spec_id).cast("int").alias("spec_id"), F.lit(r.capacity_tokens).cast("bigint").alias("capacity")) for r in collect_small(specs.filter("capacity_tokens > 0").select("spec_id", "capacity_tokens").distinct(), MOST_SPECS, "container specs")]
     if not wanted:
         wanted = [F.lit(None).cast("struct<spec_id:int,capacity:bigint>")]
     spread = items.select("doc_id", size.alias("n_tokens"), F.explode(F.array(*wanted)).alias("spec")).filter("spec is not null").select("doc_id", "n_tokens", "spec.*")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kildestrom.llm.lookalikes import _CODE, _SIZE, bigram_model
-from kildestrom.session import cut
+from kildestrom.session import collect_small, cut
 
 KINDS = ["prose", "list", "table", "junk"]
 CLASSES = ["function words", "letters", "odd letters", "digits", "blanks", "sentence signs", "cell marks", "symbols", "line ends", "repeated lines", "aligned rows"]
@@ -216,6 +216,10 @@ def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return doc, take("size").astype(float), take("dist").astype(float).reshape(-1, len(CLASSES)), take("sort")
 
 
+#: Languages whose prose profiles are compared with every segment.
+MOST_LANGUAGES = 100
+
+
 def prose_profiles(measured: DataFrame) -> dict[str, np.ndarray]:
     """Mean distribution of segments with function words per language, over all documents; few languages are expected."""
 
@@ -231,7 +235,7 @@ def prose_profiles(measured: DataFrame) -> dict[str, np.ndarray]:
 
     parts = measured.select("lang", "sort", "size", "dist").mapInArrow(sums, "lang string, total array<double>")
     flat = parts.groupBy("lang").agg(*[F.sum(F.col("total")[k]).alias(f"c{k}") for k in range(len(CLASSES) + 1)])
-    return {r["lang"]: np.array(r[2:]) / r[1] for r in flat.orderBy(F.desc("c0")).limit(100).collect() if r[1] > 0}
+    return {r["lang"]: np.array(r[2:]) / r[1] for r in collect_small(flat.filter("c0 > 0").orderBy(F.desc("c0")), MOST_LANGUAGES, "languages")}
 
 
 def structural_kinds(df: DataFrame, key: str, text: str, lang: str, common: frozenset[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from kildestrom.llm.packing import pack, packing_report
 from kildestrom.llm.quality import structural_kinds, text_statistics
 from kildestrom.llm.tokens import token_count
 from kildestrom.llm.truncation import judged, source_shares
-from kildestrom.session import cut, table
+from kildestrom.session import collect_small, cut, table
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +79,13 @@ def p6_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"p6_found": p6_found, "p6_sources": p6_sources}
 
 
+#: Common words that are shipped with the job.
+MOST_WORDS = 10_000
+
+
 def _common_words(spark: SparkSession, sf_dir: str) -> list[str]:
     """The table of common words, a few hundred at most."""
-    return sorted(r.word for r in table(spark, sf_dir, "common_word").select(F.lower("word").alias("word")).distinct().limit(10_000).collect())
+    return sorted(r.word for r in collect_small(table(spark, sf_dir, "common_word").select(F.lower("word").alias("word")).distinct(), MOST_WORDS, "common words"))
 
 
 def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from kildestrom.operators.changes import apply_changes, live_images
 from kildestrom.operators.times import CANONICAL, DEFAULT_ZONE, utc_micros
-from kildestrom.session import small_side, table
+from kildestrom.session import collect_small, small_side, table
+
+#: Zone names that are looked up on the driver.
+MOST_ZONES = 1_000
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +27,7 @@ def p1_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UTC microseconds of every time text that denotes an instant and isn't in canonical form."""
     sources = table(spark, sf_dir, "feed_source").select(F.col("id").alias("sid"), "zone_name")
-    names = [r.zone_name for r in sources.select("zone_name").filter("zone_name is not null").distinct().limit(1000).collect()]
+    names = [r.zone_name for r in collect_small(sources.select("zone_name").filter("zone_name is not null").distinct(), MOST_ZONES, "zone names")]
     to_utc = utc_micros(spark, names)
     quality = F.coalesce(F.lower(F.trim(F.regexp_replace("date_quality", r"(?U)\s+", " "))), F.lit("")) != "fundet"
 

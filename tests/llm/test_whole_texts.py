@@ -42,3 +42,31 @@ def test_field_limits_are_found_at_any_length(spark):
     rows = [(s, "x" * n) for s, n in free + [("s", 5000)] * 40]
     found = {r.length: r.posterior for r in length_limits(spark.createDataFrame(rows, "source string, text string"), "source", "text").collect()}
     assert set(found) == {5000} and found[5000] > 0.5
+
+
+def test_parameter_tables_beyond_their_bounds_are_errors(spark, tmp_path, monkeypatch):
+    from kildestrom.llm import mixing, packing, quality, queries
+    from kildestrom.plans import problems
+
+    items = spark.createDataFrame([(k, "s", 5) for k in range(3)], "doc_id bigint, source string, n_tokens bigint")
+    specs = spark.createDataFrame([(1, 8), (2, 16), (3, 0)], "spec_id int, capacity_tokens int")
+    targets = spark.createDataFrame([(1, "s", 0.5, 1), (1, "t", 0.5, 1)], "mix_id int, source string, target_share double, max_repeats int")
+    one = [0.0] * (len(quality.CLASSES) - 1) + [1.0]
+    measured = spark.createDataFrame([(lang, [1], [4.0], one) for lang in ("da", "sv")], "lang string, sort array<tinyint>, size array<float>, dist array<float>")
+    spark.createDataFrame([("da", "og"), ("da", "i")], "lang string, word string").write.parquet(f"{tmp_path}/common_word.parquet")
+    spark.createDataFrame([("a", "Europe/Copenhagen"), ("b", "UTC")], "id string, zone_name string").write.parquet(f"{tmp_path}/feed_source.parquet")
+    cases = [
+        (packing, "MOST_SPECS", lambda: packing.pack(items, specs)),
+        (mixing, "MIX_ROWS", lambda: mixing.mixture(items, targets)),
+        (queries, "MOST_WORDS", lambda: queries._common_words(spark, str(tmp_path))),
+        (quality, "MOST_LANGUAGES", lambda: quality.prose_profiles(measured)),
+    ]
+    for module, bound, run in cases:
+        monkeypatch.setattr(module, bound, 2)
+        run()
+        monkeypatch.setattr(module, bound, 1)
+        with pytest.raises(ValueError, match="more than 1 "):
+            run()
+    monkeypatch.setattr(problems, "MOST_ZONES", 1)
+    with pytest.raises(ValueError, match="zone names"):
+        problems.p4_found(spark, str(tmp_path))
