@@ -3,8 +3,8 @@
 Every distinct title is entered under keys made of pairs of its rarest words and its numbers. Titles that differ in at
 most two words share such a key, so the neighbours of equal key are the window that has to be compared; the window ends
 where the key changes and cuts nothing off. A run holds the keys of one batch, sorted inside fixed ranges of the key
-(buckets). A new batch is merged with the runs range by range: the history is neither shuffled, sorted nor read as
-text again. Runs are compacted when there are many. The word order of the keys is settled with the first run.
+(buckets). A new batch is merged with the runs range by range: the history's keys are neither shuffled nor sorted
+again. Its addresses and exact titles are still grouped anew for every batch. Runs are compacted when there are many. The word order of the keys is settled with the first run.
 """
 
 from __future__ import annotations
@@ -214,7 +214,7 @@ def word_distance(a: Column, b: Column) -> Column:
 
 
 def screen(store: RunStore, batch: DataFrame) -> DataFrame:
-    """Orders of a written batch's rows that repeat an earlier row of the batch or of the history; the batch joins the history.
+    """Orders of a written batch's rows that repeat an earlier row of the batch or of the history; `store.add` takes the batch in afterwards.
 
     Earlier means a smaller order; history comes with orders below those of the batch. Copies of one address or title
     are met through its first row, however many there are.
