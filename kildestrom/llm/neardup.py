@@ -1,11 +1,12 @@
 """Groups of records whose word sets are nearly the same, by BK-trees over word-parity sketches.
 
-A set's sketch has 64 bits; each word flips one of them, so the Hamming distance of two sketches is at most the number
-of words that are in one set only. Sets with a similarity of at least s differ in at most |A| (1 - s) / s words, which
-makes that number a radius that loses nothing. The trees are sharded: similar sets share one of their rarest words
-(prefix filtering), so each such word has a tree of its own, and a hot word several of bounded size. Trees are built
-and searched where their shard lies instead of being broadcast, as together they hold the whole collection. Hits are
-checked exactly, links closed to groups.
+A set's sketch has 128 bits; each word flips one of them, so the Hamming distance of two sketches is at most the number
+of words that are in one set only. Sets A and B with a similarity of at least s differ in at most (|A| + |B|) (1 - s) /
+(1 + s) words, which makes that number a radius that loses nothing. The trees are sharded: similar sets share one of
+their rarest words (prefix filtering), so each such word has a tree of its own, and a hot word several of bounded size.
+Trees are built and searched where their shard lies instead of being broadcast, as together they hold the whole
+collection. Hits are checked exactly, links closed to groups. How often words come is told by a hashed count table of
+fixed size, which never counts a word too low: whatever is hot is split.
 """
 
 from __future__ import annotations
@@ -18,21 +19,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kildestrom.llm.words import word_hashes
+from kildestrom.llm.lookalikes import Canoniser
+from kildestrom.llm.words import chunks, mix, word_sets
 from kildestrom.operators.components import components
 from kildestrom.session import cut
 
 SIMILARITY = Fraction(3, 4)
-#: Words whose frequency is tracked; the others count as rarest and are ordered by hash.
-FREQUENT_WORDS = 20_000
+#: Places of the count table; words that meet in one count together.
+COUNT_PLACES = 1 << 18
 #: Sets in one tree, and queries of one task, on average at most: a hot word gets a grid of trees and blocks of queries.
-TREE_SETS, MOST_TREES = 20_000, 60_000
+TREE_SETS = 20_000
 #: Rows that are searched together, and pairs of a query and a node that are visited at once.
 CHUNK_ROWS, FRONTIER = 50_000, 1_000_000
+#: Members of a group that are joined in one task when its pairs are listed.
+PAIR_BLOCK = 2_000
+BITS = 128
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).astype("int64")
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows of sketches."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype="int64")
 
 
 class Forest:
@@ -40,7 +46,7 @@ class Forest:
 
     def __init__(self, shard: np.ndarray, sketch: np.ndarray) -> None:
         n = len(shard)
-        self.sketch = sketch
+        self.sketch, self.visited = sketch, 0
         parent, edge = np.full(n, -1), np.zeros(n, "int64")
         rest, cell = np.arange(n), shard.astype("int64")
         level_parent, level_edge = np.full(n, -1), np.zeros(n, "int64")
@@ -52,20 +58,20 @@ class Forest:
             parent[roots], edge[roots] = level_parent[first], level_edge[first]
             above = roots[np.cumsum(first) - 1][~first]
             rest = rest[~first]
-            d = _popcount(sketch[rest] ^ sketch[above])
-            cell, level_parent, level_edge = above * 65 + d, above, d
+            d = _distance(sketch[rest], sketch[above])
+            cell, level_parent, level_edge = above * (BITS + 1) + d, above, d
         roots = np.flatnonzero(parent < 0)
         self.root_of = dict(zip(shard[roots].tolist(), roots.tolist(), strict=True))
         children = np.flatnonzero(parent >= 0)
-        slot = parent[children] * 66 + edge[children]
+        slot = parent[children] * (BITS + 2) + edge[children]
         order = np.argsort(slot, kind="stable")
         self.child = children[order]
-        self.start = np.zeros(n * 66 + 1, "int32")
-        np.cumsum(np.bincount(slot, minlength=n * 66), out=self.start[1:])
+        self.start = np.zeros(n * (BITS + 2) + 1, "int32")
+        np.cumsum(np.bincount(slot, minlength=n * (BITS + 2)), out=self.start[1:])
 
-    def search(self, root: np.ndarray, sketch: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node) within each query's radius, following only edges that can lead there."""
-        queries, nodes = [], []
+    def search(self, root: np.ndarray, sketch: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node, distance) within each query's radius, following only edges that can lead there."""
+        queries, nodes, distances = [], [], []
         stack = [(np.arange(len(root)), root)]
         while stack:
             q, at = stack.pop()
@@ -73,12 +79,14 @@ class Forest:
                 half = len(q) // 2
                 stack += [(q[:half], at[:half]), (q[half:], at[half:])]
                 continue
-            d, r = _popcount(sketch[q] ^ self.sketch[at]), radius[q]
+            self.visited += len(q)
+            d, r = _distance(sketch[q], self.sketch[at]), radius[q]
             hit = d <= r
             queries.append(q[hit])
             nodes.append(at[hit])
-            low = self.start[at * 66 + np.maximum(d - r, 0)]
-            count = self.start[at * 66 + np.minimum(d + r, 64) + 1] - low
+            distances.append(d[hit])
+            low = self.start[at * (BITS + 2) + np.maximum(d - r, 0)]
+            count = self.start[at * (BITS + 2) + np.minimum(d + r, BITS) + 1] - low
             go = count > 0
             q, low, count = q[go], low[go], count[go]
             if len(q):
@@ -86,113 +94,141 @@ class Forest:
                 step = np.arange(ends[-1]) - np.repeat(ends - count, count)
                 stack.append((np.repeat(q, count), self.child[np.repeat(low, count) + step]))
         none = np.zeros(0, "int64")
-        return np.concatenate([*queries, none]), np.concatenate([*nodes, none])
+        return np.concatenate([*queries, none]), np.concatenate([*nodes, none]), np.concatenate([*distances, none])
 
 
 def _ceil(x: Fraction, n: np.ndarray) -> np.ndarray:
     return -(-(n * x.numerator) // x.denominator)
 
 
-def _prefix_rows(frequent: dict[int, tuple[int, int]], similarity: Fraction):
-    """Arrow batches (h, sketch, wh) -> rows (shard, h, sketch, meta): each set under each word of its prefix.
+def _spread(words: np.ndarray) -> np.ndarray:
+    return mix(words.astype("int64").view("uint64") + np.uint64(0x9E3779B97F4A7C15))
 
-    meta holds the set's size times four, plus one if it is a node there, plus two if it is a query. frequent has rank
-    and count of the tracked words. A word with t trees has t times t cells: a set is a node of one tree, in the cells
-    of all blocks of queries, and a query of one block, in the cells of all trees.
+
+def _place(words: np.ndarray) -> np.ndarray:
+    """The place of words in the count table."""
+    return (_spread(words) >> np.uint64(20)).astype("int64") & (COUNT_PLACES - 1)
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (wh) -> (place, n): sets that hold a word of each place, summed over the partition."""
+    total = np.zeros(COUNT_PLACES, "int64")
+    for b in batches:
+        total += np.bincount(_place(b["wh"].flatten().to_numpy(zero_copy_only=False)), minlength=COUNT_PLACES)
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype("int32")), pa.array(total[seen])], ["place", "n"])
+
+
+def word_counts(sets: DataFrame) -> np.ndarray:
+    """The count table of all sets; at most COUNT_PLACES sums reach the driver."""
+    rows = sets.select("wh").mapInArrow(_count_rows, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNT_PLACES, "int64")
+    counts[rows["place"].to_numpy("int64")] = rows["n"].to_numpy("int64")
+    return counts
+
+
+_CELLS = "shard bigint, h bigint, s0 bigint, s1 bigint, meta int"
+
+
+def _prefix_rows(counts: np.ndarray, similarity: Fraction):
+    """Arrow batches (h, s0, s1, wh) -> rows (shard, h, s0, s1, meta): each set under each word of its prefix.
+
+    meta holds the set's size times four, plus one if it is a node there, plus two if it is a query. A word with t
+    trees has t times t cells: a set is a node of one tree, in the cells of all blocks of queries, and a query of one
+    block, in the cells of all trees.
     """
-    known = np.array(sorted(frequent), "int64")
-    rank_of = np.array([frequent[w][0] for w in known.tolist()], "int64")
-    trees_of = np.array([min(-(-frequent[w][1] // TREE_SETS), MOST_TREES) for w in known.tolist()], "int64")
     index = 2 * similarity / (1 + similarity)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # copies in one partition leave once
         for b in batches:
-            h, sketch = b["h"].to_numpy(zero_copy_only=False), b["sketch"].to_numpy(zero_copy_only=False)
+            h, s0 = b["h"].to_numpy(zero_copy_only=False), b["s0"].to_numpy(zero_copy_only=False)
             new = np.zeros(len(h), bool)
-            for i, pair in enumerate(zip(h.tolist(), sketch.tolist(), strict=True)):
+            for i, pair in enumerate(zip(h.tolist(), s0.tolist(), strict=True)):
                 if pair not in seen:
                     seen.add(pair)
                     new[i] = True
             if len(seen) > 500_000:
                 seen.clear()
             b = b.filter(pa.array(new))
-            h, sketch, lists = h[new], sketch[new], b["wh"]
+            h, s0, s1, lists = h[new], s0[new], b["s1"].to_numpy(zero_copy_only=False), b["wh"]
             size = np.diff(lists.offsets.to_numpy()).astype("int64")
             if not size.sum():
                 continue
-            w = lists.flatten().to_numpy(zero_copy_only=False).astype("int64")
-            of = np.repeat(np.arange(len(size)), size)
-            at = np.minimum(np.searchsorted(known, w), max(len(known) - 1, 0))
-            is_known = known[at] == w if len(known) else np.zeros(len(w), bool)
-            rank = np.where(is_known, rank_of[at] if len(known) else 0, -1)
-            order = np.lexsort((w * 0x9E3779B1 % (1 << 32), rank, of))
+            w = lists.flatten().to_numpy(zero_copy_only=False)
+            of, spread, often = np.repeat(np.arange(len(size)), size), _spread(w), counts[_place(w)]
+            order = np.lexsort((spread, often, of))
             place = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
             probe, node = size - _ceil(similarity, size) + 1, size - _ceil(index, size) + 1
             keep = place < probe[of]
-            row, word, place, pick = of[keep], w[order][keep], place[keep], order[keep]
+            row, pick, place = of[keep], order[keep], place[keep]
             is_node = (place < node[row]).astype("int64")
-            trees = np.where(is_known[pick], trees_of[at[pick]] if len(known) else 1, 1)
-            own = np.abs(h[row]) % trees
+            trees = np.maximum(-(-often[pick] // TREE_SETS), 1)
+            own = np.abs(h[row] % trees)
             many = np.repeat(np.arange(len(row)), trees)
             other = np.arange(len(many)) - np.repeat(np.cumsum(trees) - trees, trees)
-            mine, is_node = own[many], is_node[many]
-            asks = (word[many] << 32) | (other << 16) | mine  # cell (tree, block)
-            holds = (word[many] << 32) | (mine << 16) | other
+            mine, is_node, word = own[many], is_node[many], spread[pick][many]
+            cell = lambda tree, block: mix(word + mix(tree.astype("uint64") << np.uint64(32) | block.astype("uint64"))).view("int64")
             apart = (is_node == 1) & (other != mine)
-            shard = np.concatenate([asks, holds[apart]])
+            shard = np.concatenate([cell(other, mine), cell(mine, other)[apart]])  # as a query, as a node
             meta = np.concatenate([size[row][many] * 4 + 2 + (is_node & (other == mine)), size[row][many][apart] * 4 + 1])
-            many = np.concatenate([many, many[apart]])
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(h[row][many]), pa.array(sketch[row][many]), pa.array(meta.astype("int32"))], ["shard", "h", "sketch", "meta"])
+            to = row[np.concatenate([many, many[apart]])]
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(h[to]), pa.array(s0[to]), pa.array(s1[to]), pa.array(meta.astype("int32"))], ["shard", "h", "s0", "s1", "meta"])
 
     return rows
 
 
+def find_pairs(shard: np.ndarray, h: np.ndarray, s0: np.ndarray, s1: np.ndarray, meta: np.ndarray, similarity: Fraction) -> tuple[tuple[np.ndarray, ...], int, int]:
+    """Pairs (ha, sa, hb, sb) of one chunk of cells within the radius, the smaller (size, h, s0) as b; pairs visited and possible."""
+    order = np.lexsort((s0, h, shard))
+    fresh = np.ones(len(order), bool)
+    s, hh, kk = shard[order], h[order], s0[order]
+    fresh[1:] = (s[1:] != s[:-1]) | (hh[1:] != hh[:-1]) | (kk[1:] != kk[:-1])  # copies from other partitions
+    roles = np.bitwise_or.reduceat(meta[order], np.flatnonzero(fresh))
+    keep = order[fresh]
+    shard, h, s0, size = shard[keep], h[keep], s0[keep], (roles >> 2).astype("int64")
+    bits = np.stack([s0, s1[keep]], axis=1).view("uint64")
+    code = np.unique(shard, return_inverse=True)[1]
+    nodes = np.flatnonzero(roles & 1)
+    forest = Forest(code[nodes], bits[nodes])
+    root = np.full(code.max() + 1 if len(code) else 1, -1)
+    for c, r in forest.root_of.items():
+        root[c] = r
+    queries = np.flatnonzero((root[code] >= 0) & ((roles & 2) > 0))
+    apart = (1 - similarity) / (1 + similarity)
+    radius = 2 * size[queries] * apart.numerator // apart.denominator
+    q, at, d = forest.search(root[code[queries]], bits[queries], radius)
+    a, b = queries[q], nodes[at]
+    ok = (
+        (size[b] * similarity.denominator >= size[a] * similarity.numerator)
+        & (d * apart.denominator <= (size[a] + size[b]) * apart.numerator)
+        & ((size[b] < size[a]) | ((size[b] == size[a]) & ((h[b] < h[a]) | ((h[b] == h[a]) & (s0[b] < s0[a])))))
+    )
+    a, b = a[ok], b[ok]
+    possible = int((np.bincount(code[queries], minlength=len(root)) * np.bincount(code[nodes], minlength=len(root))).sum())
+    return (h[a], s0[a], h[b], s0[b]), forest.visited, possible
+
+
 def _search_rows(similarity: Fraction):
-    """Arrow batches sorted by shard -> pairs of different sets within the radius, the smaller (size, h, sketch) as b."""
-    slack = (1 - similarity) / similarity
-
-    def find(shard: np.ndarray, h: np.ndarray, sketch: np.ndarray, meta: np.ndarray) -> pa.RecordBatch:
-        bits, size, is_node, is_query = sketch.view("uint64"), (meta >> 2).astype("int64"), (meta & 1) == 1, (meta & 2) == 2
-        order = np.lexsort((sketch, h, shard))
-        fresh = np.ones(len(order), bool)
-        s, hh, kk = shard[order], h[order], sketch[order]
-        fresh[1:] = (s[1:] != s[:-1]) | (hh[1:] != hh[:-1]) | (kk[1:] != kk[:-1])  # copies from other partitions
-        keep = order[fresh]  # a set has one part in a cell, or both in one row
-        nodes = keep[is_node[keep]]
-        codes = np.unique(shard[keep], return_inverse=True)[1]
-        code = np.zeros(len(shard), "int64")
-        code[keep] = codes
-        forest = Forest(code[nodes], bits[nodes])
-        root = np.full(codes.max() + 1 if len(codes) else 1, -1)
-        for c, r in forest.root_of.items():
-            root[c] = r
-        queries = keep[(root[code[keep]] >= 0) & is_query[keep]]
-        radius = (size[queries] * slack.numerator) // slack.denominator
-        q, at = forest.search(root[code[queries]], bits[queries], radius)
-        a, b = queries[q], nodes[at]
-        ok = (size[b] * similarity.denominator >= size[a] * similarity.numerator) & (
-            (size[b] < size[a]) | ((size[b] == size[a]) & ((h[b] < h[a]) | ((h[b] == h[a]) & (sketch[b] < sketch[a]))))
-        )
-        a, b = a[ok], b[ok]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h[a], sketch[a], h[b], sketch[b])], ["ha", "sa", "hb", "sb"])
+    """Arrow batches of cells sorted by shard -> pairs of different sets within the radius."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []
         have = 0
 
         def take(upto: int | None) -> Iterator[pa.RecordBatch]:
             nonlocal held, have
-            whole = [np.concatenate([x[k] for x in held]) for k in range(4)]
+            whole = [np.concatenate([x[k] for x in held]) for k in range(5)]
             n = len(whole[0]) if upto is None else int(np.searchsorted(whole[0], whole[0][-1], side="left"))
             if n:
-                yield find(*[x[:n] for x in whole])
+                found = find_pairs(*[x[:n] for x in whole], similarity)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["ha", "sa", "hb", "sb"])
             held = [[x[n:] for x in whole]]
             have = len(whole[0]) - n
 
         for b in batches:
             if b.num_rows:
-                held.append([b[c].to_numpy(zero_copy_only=False) for c in ("shard", "h", "sketch", "meta")])
+                held.append([b[c].to_numpy(zero_copy_only=False) for c in ("shard", "h", "s0", "s1", "meta")])
                 have += b.num_rows
                 if have >= CHUNK_ROWS:
                     yield from take(-1)
@@ -203,31 +239,40 @@ def _search_rows(similarity: Fraction):
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches (key, wh) -> (key, h, sketch, wh) of the sets that have a word; h sums the words' mixed hashes."""
+    """Arrow batches (key, text) -> (key, h, s0, s1, wh) of the texts that have a word; h sums the words' mixed hashes."""
+    canon = Canoniser()
     for b in batches:
-        b = b.filter(pa.array(np.diff(b["wh"].offsets.to_numpy()) > 0))
-        if not b.num_rows:
-            continue
-        size = np.diff(b["wh"].offsets.to_numpy())
-        w = b["wh"].flatten().to_numpy(zero_copy_only=False).astype("int64").view("uint64")
-        starts = np.cumsum(size) - size
-        sketch = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), w & np.uint64(63)), starts)
-        x = w + np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h = np.add.reduceat(x ^ (x >> np.uint64(31)), starts)
-        yield pa.RecordBatch.from_arrays([b["key"], pa.array(h.view("int64")), pa.array(sketch.view("int64")), b["wh"]], ["key", "h", "sketch", "wh"])
+        texts = b["text"].to_pylist()
+        for start, end in chunks(texts):
+            w, size = word_sets(texts[start:end], canon)
+            filled = size > 0
+            keys, size = b["key"][start:end].filter(pa.array(filled)), size[filled]
+            if not len(size):
+                continue
+            starts = np.cumsum(size) - size
+            x = _spread(w)
+            bit, high = np.left_shift(np.uint64(1), x & np.uint64(63)), (x >> np.uint64(6)) & np.uint64(1) == 1
+            s0 = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), starts)
+            s1 = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), starts)
+            h = np.add.reduceat(mix(x), starts)
+            wh = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype("int32")), pa.array(w))
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array(v.view("int64")) for v in (h, s0, s1)], wh], ["key", "h", "s0", "s1", "wh"])
+
+
+def word_set_table(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """The written table (key, h, s0, s1, wh) of the records' word sets: one pass over the texts."""
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.concat_ws(" ", *[F.col(f) for f in fields]).alias("text"))
+    sets = rows.mapInArrow(_sketched, f"key {df.schema[key].dataType.simpleString()}, h bigint, s0 bigint, s1 bigint, wh array<int>")
+    return cut(sets, "sets")
 
 
 def near_links(sets: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
-    """Links (ha, sa, hb, sb) between different word sets of a written table (key, h, sketch, wh), each once."""
-    top = sets.select(F.explode("wh").alias("w")).agg(F.expr(f"approx_top_k(w, {FREQUENT_WORDS}, {4 * FREQUENT_WORDS})").alias("top")).first().top or []
-    frequent = {r["item"]: (k, r["count"]) for k, r in enumerate(sorted(top, key=lambda r: (r["count"], r["item"])))}
-    rows = sets.select("h", "sketch", "wh").mapInArrow(_prefix_rows(frequent, similarity), "shard bigint, h bigint, sketch bigint, meta int")
+    """Links (ha, sa, hb, sb) between different word sets of a written table (key, h, s0, s1, wh), each once."""
+    rows = sets.select("h", "s0", "s1", "wh").mapInArrow(_prefix_rows(word_counts(sets), similarity), _CELLS)
     near = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search_rows(similarity), "ha bigint, sa bigint, hb bigint, sb bigint").distinct()
-    texts = sets.groupBy("h", "sketch").agg(F.first("wh").alias("wh"))
-    one = texts.select(F.col("h").alias("ha"), F.col("sketch").alias("sa"), F.col("wh").alias("wa"))
-    two = texts.select(F.col("h").alias("hb"), F.col("sketch").alias("sb"), F.col("wh").alias("wb"))
+    texts = sets.groupBy("h", "s0").agg(F.first("wh").alias("wh"))
+    one = texts.select(F.col("h").alias("ha"), F.col("s0").alias("sa"), F.col("wh").alias("wa"))
+    two = texts.select(F.col("h").alias("hb"), F.col("s0").alias("sb"), F.col("wh").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
     pairs = near.join(one, ["ha", "sa"]).join(two, ["hb", "sb"]).withColumn("shared", shared)
     union = F.size("wa") + F.size("wb") - F.col("shared")
@@ -241,12 +286,19 @@ def near_groups(df: DataFrame, key: str, fields: list[str], similarity: Fraction
     either. Words are compared by a 32-bit hash within a pair; texts are identified by 128 bits. Null fields count as
     empty; records without a word and records with a null key are left out; exact repeats of a row count once.
     """
-    text = F.concat_ws(" ", *[F.col(f) for f in fields])
-    sets = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), word_hashes(text).alias("wh"))
-    sets = sets.mapInArrow(_sketched, f"key {df.schema[key].dataType.simpleString()}, h bigint, sketch bigint, wh array<int>")
-    sets = cut(sets, "sets")
+    sets = word_set_table(df, key, fields)
     name = lambda h, s: F.concat(F.lpad(F.hex(h), 16, "0"), F.lpad(F.hex(s), 16, "0"))
     links = near_links(sets, similarity).select(name(F.col("ha"), F.col("sa")).alias("a"), name(F.col("hb"), F.col("sb")).alias("b"))
     found = components(links, "a", "b")
-    own = sets.select("key", name(F.col("h"), F.col("sketch")).alias("node")).distinct()
+    own = sets.select("key", name(F.col("h"), F.col("s0")).alias("node")).distinct()
     return own.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("group"))
+
+
+def group_pairs(groups: DataFrame) -> DataFrame:
+    """Pairs (id_a, id_b) of different keys of one group, the smaller first; a large group is joined block by block."""
+    members = groups.distinct()
+    sizes = members.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = members.join(sizes, "group").withColumn("blocks", F.ceil(F.col("n") / PAIR_BLOCK).cast("int"))
+    a = rows.select("group", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.col("key").alias("id_a"))
+    b = rows.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("key").alias("id_b"))
+    return a.join(b, ["group", "block"]).filter("id_a < id_b").select("id_a", "id_b").distinct()

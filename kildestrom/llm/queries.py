@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kildestrom.llm.history import RunStore, entries, screen
 from kildestrom.llm.lookalikes import bigram_model, disguised_fields
 from kildestrom.llm.mixing import mixture, mixture_report
-from kildestrom.llm.neardup import near_groups
+from kildestrom.llm.neardup import group_pairs, near_groups
 from kildestrom.llm.packing import pack, packing_report
 from kildestrom.llm.quality import structural_kinds, text_statistics
 from kildestrom.llm.tokens import token_count
@@ -40,9 +40,7 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of candidates in one group."""
-    groups = near_groups(table(spark, sf_dir, "candidate"), "id", ["title", "teaser"])
-    a, b = groups.select("group", F.col("key").alias("id_a")), groups.select("group", F.col("key").alias("id_b"))
-    return a.join(b, "group").filter("id_a < id_b").select("id_a", "id_b").distinct()
+    return group_pairs(near_groups(table(spark, sf_dir, "candidate"), "id", ["title", "teaser"]))
 
 
 QUERIES |= {"p2_found": p2_found, "p2_groups": p2_groups}

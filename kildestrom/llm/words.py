@@ -1,20 +1,90 @@
-"""Word sets of texts, free of case and disguises."""
+"""Words of texts, free of case and disguises, read as arrays of characters."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import functools
+import re
+from collections.abc import Callable, Iterator
 
-from kildestrom.llm.lookalikes import canonical
+import numpy as np
+
+from kildestrom.llm.lookalikes import SUSPICIOUS, Canoniser
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: Characters that are read together; a longer text is read alone.
+CHUNK_CHARACTERS = 2_000_000
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Every bit of a 64-bit number spread over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@functools.lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: whether it is a letter or digit, and whether a text that holds it has to be looked into."""
+    every = "".join(map(chr, range(0x110000)))
+    word, odd = np.zeros(len(every), bool), np.zeros(len(every), bool)
+    for table, pattern in ((word, r"[^\W_]+"), (odd, f"(?:{SUSPICIOUS})+".replace(r"\x{2212}", "−"))):
+        for m in re.finditer(pattern, every):
+            table[m.start() : m.end()] = True
+    return word, odd
+
+
+def code_points(texts: list[str]) -> np.ndarray:
+    """The characters of all texts, each text followed by a line end."""
+    return np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def lengths(texts: list[str]) -> np.ndarray:
+    return np.fromiter(map(len, texts), "int64", len(texts))
+
+
+def word_spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a character array begin, and the 64-bit hash of each."""
+    word = _tables()[0][points]
+    begins = np.flatnonzero(word & ~np.r_[False, word[:-1]])
+    if not len(begins):
+        return begins, np.zeros(0, "uint64")
+    at = np.flatnonzero(word)
+    first = np.searchsorted(at, begins)
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+    letters = mix(points[at].astype("uint64") | (place.astype("uint64") + np.uint64(1)) << np.uint64(21))
+    return begins, mix(np.add.reduceat(letters, first))
+
+
+def plain_texts(texts: list[str], canon: Callable[[str], tuple[str, bool]]) -> list[str]:
+    """Lower-case canonical forms; only texts with a suspicious character are looked into."""
+    points, size = code_points(texts), lengths(texts) + 1
+    ends = np.cumsum(size)
+    seen = np.r_[0, np.cumsum(_tables()[1][points])]
+    for k in np.flatnonzero(seen[ends] > seen[ends - size]).tolist():
+        texts[k] = canon(texts[k])[0]
+    return [t.lower() for t in texts]
 
 
-def words(text: Column) -> Column:
-    """The lower-case words of a text in order: runs of letters and digits of its canonical form; null counts as empty."""
-    return F.filter(F.split(F.lower(canonical(F.coalesce(text, F.lit("")))["text"]), NOT_WORD), lambda w: w != "")
+def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold CHUNK_CHARACTERS together, or one text."""
+    start = total = 0
+    for k, t in enumerate(texts):
+        if k > start and total + len(t) > CHUNK_CHARACTERS:
+            yield start, k
+            start, total = k, 0
+        total += len(t)
+    if start < len(texts):
+        yield start, len(texts)
 
 
-def word_hashes(text: Column) -> Column:
-    """Sorted hashes of the distinct words."""
-    return F.array_sort(F.array_distinct(F.transform(words(text), lambda w: F.hash(w))))
+def word_sets(texts: list[str], canon: Canoniser) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 32-bit hashes of the distinct words of every text, and how many each has."""
+    texts = plain_texts(texts, canon)
+    begins, full = word_spans(code_points(texts))
+    of = np.searchsorted(np.cumsum(lengths(texts) + 1), begins, side="right")
+    short = (full >> np.uint64(32)).astype("uint32").view("int32")
+    order = np.lexsort((short, of))
+    of, short = of[order], short[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (short[1:] != short[:-1])
+    return short[new], np.bincount(of[new], minlength=len(texts))

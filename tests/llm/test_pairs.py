@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from kildestrom.llm.history import RunStore, entries, screen, word_distance
 from kildestrom.llm.lookalikes import Canoniser
-from kildestrom.llm.neardup import Forest, near_groups
+from kildestrom.llm.neardup import Forest, group_pairs, near_groups
+from kildestrom.llm.words import word_sets
 from kildestrom.session import cut, table
 
 DATA = "/root/testdata/sf0.001"
@@ -41,15 +42,23 @@ def _groups(rows):
 
 def test_forest_equals_all_distances():
     r = np.random.default_rng(1)
-    base = r.integers(0, 2**63, 40, dtype="uint64")
-    sketch = np.concatenate([base ^ (np.uint64(1) << r.integers(0, 63, 40).astype("uint64")) for _ in range(8)])
+    base = r.integers(0, 2**63, (40, 2), dtype="uint64")
+    sketch = np.concatenate([base ^ np.stack([np.uint64(1) << r.integers(0, 63, 40).astype("uint64"), np.zeros(40, "uint64")], axis=1) for _ in range(8)])
     shard = r.integers(0, 3, len(sketch))
     forest = Forest(shard, sketch)
     root = np.array([forest.root_of[s] for s in shard.tolist()])
-    q, at = forest.search(root, sketch, np.full(len(sketch), 4))
-    got = set(zip(q.tolist(), at.tolist(), strict=True))
-    want = {(i, j) for i in range(len(sketch)) for j in range(len(sketch)) if shard[i] == shard[j] and int(sketch[i] ^ sketch[j]).bit_count() <= 4}
-    assert got == want
+    q, at, d = forest.search(root, sketch, np.full(len(sketch), 4))
+    far = lambda i, j: sum(int(x).bit_count() for x in sketch[i] ^ sketch[j])
+    assert {(i, j): x for i, j, x in zip(q.tolist(), at.tolist(), d.tolist(), strict=True)} == {(i, j): far(i, j) for i in range(len(sketch)) for j in range(len(sketch)) if shard[i] == shard[j] and far(i, j) <= 4}
+    assert forest.visited < sum(int(n) ** 2 for n in np.bincount(shard))  # edges are left out
+
+
+def test_word_sets_equal_regular_expressions():
+    texts = ["Én to, TO\u200b tre_fire", "", "ＡＢ x\u0301y 7½", "İstanbul ΣΑΣ", "a" * 5000 + " b"]
+    hashes, size = word_sets(list(texts), Canoniser())
+    assert size.tolist() == [len(set(_words(t))) for t in texts]
+    again, _ = word_sets([" ".join(sorted(set(_words(t)))) for t in texts], Canoniser())
+    assert hashes.tolist() == again.tolist()
 
 
 def test_near_groups_equal_brute_force(spark):
@@ -85,6 +94,15 @@ def test_hot_words_are_spread_over_trees(spark, monkeypatch):
     assert {frozenset(v) for v in got.values()} == _groups([(k, frozenset(_words(t))) for k, t in rows])
 
 
+def test_pairs_of_a_large_group_come_block_by_block(spark, monkeypatch):
+    import kildestrom.llm.neardup as m
+
+    monkeypatch.setattr(m, "PAIR_BLOCK", 7)
+    rows = [(f"k{i:02}", "g") for i in range(40)] + [("x", "h"), ("y", "h"), ("y", "h"), ("z", "alone")]
+    got = [(r.id_a, r.id_b) for r in group_pairs(spark.createDataFrame(rows, "key string, group string")).collect()]
+    assert len(got) == len(set(got)) == 40 * 39 // 2 + 1 and ("x", "y") in got
+
+
 def _lev(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
