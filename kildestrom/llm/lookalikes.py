@@ -125,37 +125,40 @@ def best_word(word: str, model: np.ndarray | None = None) -> str:
     return "".join(reversed(out))
 
 
+class _Shown(dict):
+    """What each character shows, for str.translate; learned as characters come."""
+
+    def __missing__(self, code: int) -> int | str:
+        ch = chr(code)
+        kind = "plain" if ch.isascii() else _kind(ch)
+        self[code] = shown = {"plain": code, "space": " ", "ignorable": ""}.get(kind) if kind != "compat" else unicodedata.normalize("NFKC", ch)
+        return shown
+
+
+class _Scripts(dict):
+    def __missing__(self, ch: str) -> str:
+        self[ch] = script = _script(ch)
+        return script
+
+
 class Canoniser:
     """Canonical form of a text, and whether the text held anything that it doesn't show."""
 
     def __init__(self, model: np.ndarray | None = None) -> None:
-        self.model, self.kinds, self.words = model, {}, {}
+        self.model, self.shown, self.script, self.words = model, _Shown(), _Scripts(), {}
 
     def __call__(self, text: str) -> tuple[str, bool]:
-        out, found = [], False
-        for ch in text:
-            if ch.isascii():
-                out.append(ch)
-                continue
-            if (kind := self.kinds.get(ch)) is None:
-                kind = self.kinds[ch] = _kind(ch)
-            if kind == "plain":
-                out.append(ch)
-                continue
-            found = True
-            if kind == "space":
-                out.append(" ")
-            elif kind == "compat":
-                out.append(unicodedata.normalize("NFKC", ch))
-        plain = "".join(out)
-        if _MARK.search(plain):
-            found = True
+        plain = text.translate(self.shown)
+        found = plain != text or _MARK.search(plain) is not None
         plain = unicodedata.normalize("NFC", plain)
+        if not any(self.script[c] in ("G", "C") for c in set(plain)):
+            return plain, found
 
         def fix(m: re.Match[str]) -> str:
             nonlocal found
             word = m[0]
-            if word.isascii() or not (scripts := {_script(c) for c in word} - {""}) - {"L"} or "L" not in scripts:
+            scripts = {self.script[c] for c in word}
+            if "L" not in scripts or not scripts & {"G", "C"}:
                 return word
             found = True
             if word not in self.words:

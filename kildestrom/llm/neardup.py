@@ -38,7 +38,7 @@ BITS = 128
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hamming distances of rows of sketches."""
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype="int64")
+    return np.bitwise_count(a[:, 0] ^ b[:, 0]).astype("int64") + np.bitwise_count(a[:, 1] ^ b[:, 1])
 
 
 class Forest:
@@ -63,11 +63,13 @@ class Forest:
         roots = np.flatnonzero(parent < 0)
         self.root_of = dict(zip(shard[roots].tolist(), roots.tolist(), strict=True))
         children = np.flatnonzero(parent >= 0)
-        slot = parent[children] * (BITS + 2) + edge[children]
-        order = np.argsort(slot, kind="stable")
-        self.child = children[order]
-        self.start = np.zeros(n * (BITS + 2) + 1, "int32")
-        np.cumsum(np.bincount(slot, minlength=n * (BITS + 2)), out=self.start[1:])
+        inner, number = np.unique(parent[children], return_inverse=True)
+        self.inner = np.full(n, -1)  # only nodes with children have a row of edges
+        self.inner[inner] = np.arange(len(inner)) * (BITS + 2)
+        slot = number * (BITS + 2) + edge[children]
+        self.child = children[np.argsort(slot, kind="stable")]
+        self.start = np.zeros(len(inner) * (BITS + 2) + 1, "int32")
+        np.cumsum(np.bincount(slot, minlength=len(inner) * (BITS + 2)), out=self.start[1:])
 
     def search(self, root: np.ndarray, sketch: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, node, distance) within each query's radius, following only edges that can lead there."""
@@ -85,8 +87,11 @@ class Forest:
             queries.append(q[hit])
             nodes.append(at[hit])
             distances.append(d[hit])
-            low = self.start[at * (BITS + 2) + np.maximum(d - r, 0)]
-            count = self.start[at * (BITS + 2) + np.minimum(d + r, BITS) + 1] - low
+            row = self.inner[at]
+            go = row >= 0
+            q, d, r, row = q[go], d[go], r[go], row[go]
+            low = self.start[row + np.maximum(d - r, 0)]
+            count = self.start[row + np.minimum(d + r, BITS) + 1] - low
             go = count > 0
             q, low, count = q[go], low[go], count[go]
             if len(q):
@@ -178,6 +183,14 @@ def _prefix_rows(counts: np.ndarray, similarity: Fraction):
     return rows
 
 
+def _size_classes(most: int) -> np.ndarray:
+    """Least sizes of classes, each about an eighth wider than the one before, up to `most`."""
+    bounds = [1]
+    while bounds[-1] <= most:
+        bounds.append(max(bounds[-1] + 1, bounds[-1] * 9 // 8))
+    return np.array(bounds)
+
+
 def find_pairs(shard: np.ndarray, h: np.ndarray, s0: np.ndarray, s1: np.ndarray, meta: np.ndarray, similarity: Fraction) -> tuple[tuple[np.ndarray, ...], int, int]:
     """Pairs (ha, sa, hb, sb) of one chunk of cells within the radius, the smaller (size, h, s0) as b; pairs visited and possible."""
     order = np.lexsort((s0, h, shard))
@@ -188,16 +201,25 @@ def find_pairs(shard: np.ndarray, h: np.ndarray, s0: np.ndarray, s1: np.ndarray,
     keep = order[fresh]
     shard, h, s0, size = shard[keep], h[keep], s0[keep], (roles >> 2).astype("int64")
     bits = np.stack([s0, s1[keep]], axis=1).view("uint64")
+    bounds = _size_classes(int(size.max(initial=1)))
+    kind = np.searchsorted(bounds, size, side="right")
     code = np.unique(shard, return_inverse=True)[1]
     nodes = np.flatnonzero(roles & 1)
-    forest = Forest(code[nodes], bits[nodes])
-    root = np.full(code.max() + 1 if len(code) else 1, -1)
-    for c, r in forest.root_of.items():
-        root[c] = r
-    queries = np.flatnonzero((root[code] >= 0) & ((roles & 2) > 0))
+    forest = Forest(code[nodes] * len(bounds) + kind[nodes] - 1, bits[nodes])
+    root = np.full((code.max(initial=0) + 1) * len(bounds), -1)
+    root[list(forest.root_of)] = list(forest.root_of.values())
+    asking = np.flatnonzero(roles & 2)
+    least = np.searchsorted(bounds, _ceil(similarity, size[asking]), side="right")
+    # a query enters the trees of every size class that may hold a partner of at most its size
+    times = kind[asking] - least + 1
+    queries = np.repeat(asking, times)
+    into = np.repeat(least, times) + np.arange(len(queries)) - np.repeat(np.cumsum(times) - times, times)
+    enters = root[code[queries] * len(bounds) + into - 1]
+    queries, into, enters = queries[enters >= 0], into[enters >= 0], enters[enters >= 0]
     apart = (1 - similarity) / (1 + similarity)
-    radius = 2 * size[queries] * apart.numerator // apart.denominator
-    q, at, d = forest.search(root[code[queries]], bits[queries], radius)
+    largest = np.minimum(np.r_[bounds, bounds[-1] + size.max(initial=1) + 1][into] - 1, size[queries])
+    radius = (size[queries] + largest) * apart.numerator // apart.denominator
+    q, at, d = forest.search(enters, bits[queries], radius)
     a, b = queries[q], nodes[at]
     ok = (
         (size[b] * similarity.denominator >= size[a] * similarity.numerator)
@@ -205,7 +227,7 @@ def find_pairs(shard: np.ndarray, h: np.ndarray, s0: np.ndarray, s1: np.ndarray,
         & ((size[b] < size[a]) | ((size[b] == size[a]) & ((h[b] < h[a]) | ((h[b] == h[a]) & (s0[b] < s0[a])))))
     )
     a, b = a[ok], b[ok]
-    possible = int((np.bincount(code[queries], minlength=len(root)) * np.bincount(code[nodes], minlength=len(root))).sum())
+    possible = int((np.bincount(code[asking], minlength=len(root)) * np.bincount(code[nodes], minlength=len(root))).sum())
     return (h[a], s0[a], h[b], s0[b]), forest.visited, possible
 
 

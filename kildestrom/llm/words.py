@@ -82,9 +82,7 @@ def word_sets(texts: list[str], canon: Canoniser) -> tuple[np.ndarray, np.ndarra
     texts = plain_texts(texts, canon)
     begins, full = word_spans(code_points(texts))
     of = np.searchsorted(np.cumsum(lengths(texts) + 1), begins, side="right")
-    short = (full >> np.uint64(32)).astype("uint32").view("int32")
-    order = np.lexsort((short, of))
-    of, short = of[order], short[order]
-    new = np.ones(len(of), bool)
-    new[1:] = (of[1:] != of[:-1]) | (short[1:] != short[:-1])
-    return short[new], np.bincount(of[new], minlength=len(texts))
+    both = np.sort(of << 32 | (full >> np.uint64(32)).astype("int64"))
+    new = np.r_[True, both[1:] != both[:-1]][: len(both)]
+    both = both[new]
+    return both.astype("uint32").view("int32"), np.bincount(both >> 32, minlength=len(texts))
