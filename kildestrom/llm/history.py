@@ -1,88 +1,110 @@
 """New batches against everything accepted: sorted-neighbourhood runs under several keys.
 
-Every distinct title is entered under keys made of pairs of its rarest words and its numbers. Titles that differ in at
-most two words share such a key, so the neighbours of equal key are the window that has to be compared; the window ends
-where the key changes and cuts nothing off. A run holds the keys of one batch, sorted inside fixed ranges of the key
-(buckets). A new batch is merged with the runs range by range: the history's keys are neither shuffled nor sorted
-again. Its addresses and exact titles are still grouped anew for every batch. Runs are compacted when there are many. The word order of the keys is settled with the first run.
+Every distinct title is entered under keys made of pairs of its rarest words and its numbers, every address under its
+own. Titles that differ in at most two words share such a key, so a new record's window is its key's stretch of the
+sorted order, within two words of its length; it is bounded by order, not by a number of rows, and cuts nothing off. A
+run holds one batch, divided into fixed ranges of the key and sorted inside them. A new batch is written as a run first
+and then merged with the older runs range by range: the history is neither shuffled, grouped nor sorted again. Runs are
+compacted when there are many, which also settles the order of the words anew. A key that many titles share is replaced
+by keys of three words, by a hashed count table of fixed size.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import hashlib
 import html
 import itertools
+import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kildestrom.functions.urls import address_key
-from kildestrom.llm.lookalikes import SUSPICIOUS, Canoniser
-from kildestrom.llm.words import NOT_WORD
-from kildestrom.session import cut, fresh_path, remove_path, small_side
+from kildestrom.llm.lookalikes import Canoniser
+from kildestrom.llm.words import chunks, code_points, count_table, lengths, mix, place_of, plain_texts, spread, word_spans
+from kildestrom.session import collect_small, cut, fresh_path, remove_path
 
-FREQUENT_WORDS = 2_000
 EDITS = 2
 MAX_RUNS = 8
-_TAIL = r"^([\s\S]*\S)\s+[|–—-]\s+(\S[\s\S]*)$"
+#: Titles under one pair of words from which on three words make the key.
+HOT_KEY = 10_000
+#: Names that may stand behind a title: a registry of sources.
+MOST_NAMES = 100_000
+#: The length that marks an address among the keys.
+ADDRESS = -10
+_TAIL = re.compile(r"^([\s\S]*\S)\s+[|–—-]\s+(\S[\s\S]*)$")
+_WORD = re.compile(r"[^\W_]+")
+_NUMBER = re.compile(r"[0-9]+")
+_ENTRY = "ord bigint, a1 bigint, a2 int, t1 bigint, t2 bigint, wl array<int>, numbers bigint"
+_KEYS = "key bigint, t1 bigint, t2 bigint, first bigint, n int, sketch bigint"
+
+
+def _numbers(text: str) -> int:
+    found = sorted(_NUMBER.findall(text))
+    return int.from_bytes(hashlib.blake2b(" ".join(found).encode(), digest_size=8).digest(), "little", signed=True) if found else 0
+
 
+def _read(names: frozenset[str]):
+    """Arrow batches (ord, a1, a2, title) -> entries."""
 
-@F.pandas_udf(T.StringType())
-def _plain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    canon = Canoniser()
-    for s in batches:
-        yield pd.Series([None if t is None else canon(html.unescape(html.unescape(t)))[0] for t in s], dtype=object)
+    def bare(title: str) -> str:
+        if ("|" in title or "–" in title or "—" in title or " -" in title) and (m := _TAIL.match(title)) and " ".join(_WORD.findall(m[2])) in names:
+            return m[1]
+        return title
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon = Canoniser()
+        for b in batches:
+            titles = [html.unescape(html.unescape(t)) if t and "&" in t else t or "" for t in b["title"].to_pylist()]
+            for start, end in chunks(titles):
+                texts = [bare(t) for t in plain_texts(titles[start:end], canon)]
+                begins, full = word_spans(code_points(texts))
+                of = np.searchsorted(np.cumsum(lengths(texts) + 1), begins, side="right")
+                size = np.bincount(of, minlength=len(texts))
+                place = (np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)).astype("uint64")
+                filled = np.flatnonzero(size)
+                starts = (np.cumsum(size) - size)[filled]
+                t1, t2 = np.zeros(len(texts), "uint64"), np.zeros(len(texts), "uint64")
+                if len(filled):
+                    t1[filled] = np.add.reduceat(mix(full + place * np.uint64(0x9E3779B97F4A7C15)), starts)
+                    t2[filled] = np.add.reduceat(mix(full ^ mix(place + np.uint64(0xD1B54A32D192ED03))), starts)
+                wl = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype("int32")), pa.array((full >> np.uint64(32)).astype("uint32").view("int32")))
+                numbers = np.fromiter(map(_numbers, texts), "int64", len(texts))
+                part = b.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([part["ord"], part["a1"], part["a2"], pa.array(t1.view("int64"), mask=size == 0), pa.array(t2.view("int64")), wl, pa.array(numbers)], ["ord", "a1", "a2", "t1", "t2", "wl", "numbers"])
 
-def _title_words(text: Column) -> Column:
-    return F.filter(F.split(text, NOT_WORD), lambda w: w != "")
+    return rows
 
 
 def entries(df: DataFrame, ord_: Column, url: Column, title: Column, names: DataFrame) -> DataFrame:
-    """Rows (ord, a1, a2, t1, sketch, wl, numbers): address and title keys of a batch.
+    """Rows (ord, a1, a2, t1, t2, wl, numbers): address and title keys of a batch, from one pass over its rows.
 
-    Titles are read without entities, disguises, case, punctuation and a tail that is one of `names` (name). Null or
-    empty titles and addresses have no key and match nothing.
+    Titles are read without entities, disguises, case, punctuation and a tail that is one of `names` (name), a small
+    table. Null or empty titles and addresses have no key and match nothing.
+    """
+    known = frozenset(" ".join(_WORD.findall(r.name.lower())) for r in collect_small(names.filter("name is not null").select("name").distinct(), MOST_NAMES, "names")) - {""}
+    address = df.select(ord_.cast("bigint").alias("ord"), address_key(url).alias("address"), title.alias("title"))
+    rows = address.select("ord", F.when(F.col("address").isNotNull(), F.xxhash64("address")).alias("a1"), F.when(F.col("address").isNotNull(), F.hash(F.lit("a"), "address")).alias("a2"), "title")
+    return rows.mapInArrow(_read(known), _ENTRY)
+
+
+def _pair_keys(counts: np.ndarray, hot: np.ndarray | None):
+    """Arrow batches of titles -> their keys: one row for each pair of rare words.
+
+    Without `hot`, only the column of pair keys is given, to be counted.
     """
-    raw = F.coalesce(title, F.lit(""))
-    odd = raw.rlike(SUSPICIOUS) | raw.contains("&")
-    rows = df.select(ord_.cast("bigint").alias("ord"), address_key(url).alias("address"), F.lower(F.coalesce(_plain(F.when(odd, raw)), raw)).alias("text"))
-    tail = F.when(F.col("text").rlike(r"\s[|–—-]\s"), F.array_join(_title_words(F.regexp_extract("text", _TAIL, 2)), " "))
-    known = names.select(F.array_join(_title_words(F.lower("name")), " ").alias("tail")).filter("tail <> ''").distinct().withColumn("is_name", F.lit(True))
-    rows = rows.withColumn("tail", tail).join(small_side(known), "tail", "left")
-    bare = F.when(F.col("is_name"), F.regexp_extract("text", _TAIL, 1)).otherwise(F.col("text"))
-    rows = rows.select("ord", "address", _title_words(bare).alias("words"))
-    content = F.array_join("words", " ")
-    return rows.select(
-        "ord",
-        F.xxhash64("address").alias("a1"),
-        F.when(F.col("address").isNotNull(), F.hash(F.lit("a"), "address")).alias("a2"),
-        F.when(F.size("words") > 0, F.xxhash64(content)).alias("t1"),
-        F.xxhash64(F.lit("t"), content).alias("t2"),
-        F.transform("words", lambda w: F.hash(w)).alias("wl"),
-        F.xxhash64(F.array_join(F.array_sort(F.regexp_extract_all(content, F.lit("([0-9]+)"), 1)), " ")).alias("numbers"),
-    )
-
-
-def _key_rows(frequent: dict[int, int]):
-    """Arrow batches of titles -> (key, t1, t2, first, n, sketch): one row for each pair of rare words."""
-    known = np.array(sorted(frequent), "int64")
-    rank_of = np.array([frequent[w] for w in known.tolist()], "int64")
-
-    def mix(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = np.diff(b["wl"].offsets.to_numpy()).astype("int64")
-            w = b["wl"].flatten().to_numpy(zero_copy_only=False).astype("int64")
+            w = b["wl"].flatten().to_numpy(zero_copy_only=False)
             if not len(w):
                 continue
             of = np.repeat(np.arange(len(size)), size)
@@ -90,30 +112,46 @@ def _key_rows(frequent: dict[int, int]):
             order = np.lexsort((w, of))
             same = np.r_[False, (w[order][1:] == w[order][:-1]) & (of[order][1:] == of[order][:-1])]
             run = np.arange(len(w)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(w))))
-            occurrence = np.empty(len(w), "int64")
+            occurrence = np.empty(len(w), "uint64")
             occurrence[order] = run
-            token = mix(w.astype("uint64") + np.uint64(0x9E3779B97F4A7C15) * occurrence.astype("uint64"))
-            sketch = np.zeros(len(size), "uint64")
-            filled = size > 0
-            sketch[filled] = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), token & np.uint64(63)), (np.cumsum(size) - size)[filled])
-            at = np.minimum(np.searchsorted(known, w), max(len(known) - 1, 0))
-            rank = np.where(known[at] == w, rank_of[at], -1) if len(known) else np.full(len(w), -1)
-            order = np.lexsort((token, rank, of))
+            token = mix(spread(w) + np.uint64(0x9E3779B97F4A7C15) * occurrence)
             start = np.cumsum(size) - size
-            numbers = mix(b["numbers"].to_numpy(zero_copy_only=False).astype("uint64"))
-            top = np.zeros((len(size), 4), "uint64")
-            for k in range(4):
+            order = np.lexsort((token, counts[place_of(w)], of))
+            numbers = mix(b["numbers"].to_numpy(zero_copy_only=False).view("uint64"))
+            top = np.zeros((len(size), 5), "uint64")
+            for k in range(5):
                 has = size > k
                 top[has, k] = token[order[start[has] + k]]
             keys, who = [], []
+
+            def put(has: np.ndarray, sums: np.ndarray) -> None:
+                keys.append(mix(mix(sums) + numbers[has]))
+                who.append(has)
+
             for i, j in itertools.combinations(range(4), 2):  # both of two among the four rarest
                 has = np.flatnonzero(size > j)
-                keys.append(mix(mix(top[has, i] + top[has, j]) + numbers[has]))
-                who.append(has)
+                pair = top[has, i] + top[has, j]
+                if hot is None:
+                    put(has, pair)
+                    continue
+                many = hot[place_of(mix(mix(pair) + numbers[has]).view("int64"))]
+                put(has[~many], pair[~many])
+                has, pair = has[many], pair[many]
+                short = size[has] <= 4  # two of up to four words may be all that two short titles share
+                put(has[short], mix(pair[short] + np.uint64(4)))
+                for k in range(5):  # three among the five rarest
+                    if k not in (i, j):
+                        more = size[has] > k
+                        put(has[more], mix(pair[more] + top[has[more], k] + np.uint64(3)))
+            if hot is None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("int64"))], ["key"])
+                continue
             for i in range(3):  # one among the three rarest, for titles that need to share no more
                 has = np.flatnonzero((size > i) & (size <= 5))
-                keys.append(mix(top[has, i] + numbers[has]))
-                who.append(has)
+                put(has, top[has, i])
+            sketch = np.zeros(len(size), "uint64")
+            filled = size > 0
+            sketch[filled] = np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), token & np.uint64(63)), start[filled])
             of_key = np.concatenate(who)
             take = lambda c: b[c].take(pa.array(of_key))
             yield pa.RecordBatch.from_arrays(
@@ -123,89 +161,132 @@ def _key_rows(frequent: dict[int, int]):
     return rows
 
 
-_KEYS = "key bigint, t1 bigint, t2 bigint, first bigint, n int, sketch bigint"
-
+@dataclass(frozen=True)
+class Run:
+    """Names of a run's tables: keys and titles, in ranges and sorted, and the first short title of each set of numbers."""
 
-def _titles(rows: DataFrame) -> DataFrame:
-    """Distinct titles of entries with the order of their first row; copies are merged before the shuffle."""
-    return rows.filter("t1 is not null").groupBy("t1", "t2").agg(F.min("ord").alias("first"), F.first("wl").alias("wl"), F.first("numbers").alias("numbers"))
+    keys: str
+    titles: str
+    short: DataFrame
 
 
 class RunStore:
-    """The accepted history: per run its entries and its title keys, bucketed and sorted by key."""
+    """The accepted history as sorted runs; `take` screens a batch and takes it in."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
-        self.spark, self.runs, self.frequent = spark, [], None
+    def __init__(self, spark: SparkSession, buckets: int | None = None, max_runs: int = MAX_RUNS, hot_key: int = HOT_KEY) -> None:
+        self.spark, self.runs, self.max_runs, self.hot_key = spark, [], max_runs, hot_key
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.counts = self.hot = None
+        self.paths: dict[str, str] = {}
+        atexit.register(self.close)
 
-    def _keys(self, titles: DataFrame) -> DataFrame:
-        if self.frequent is None:
-            top = titles.select(F.explode("wl").alias("w")).agg(F.expr(f"approx_top_k(w, {FREQUENT_WORDS}, {4 * FREQUENT_WORDS})").alias("top")).first().top or []
-            self.frequent = {r["item"]: k for k, r in enumerate(sorted(top, key=lambda r: (r["count"], r["item"])))}
-        return titles.select("t1", "t2", "first", "wl", "numbers").mapInArrow(_key_rows(self.frequent), _KEYS)
+    def close(self) -> None:
+        """Drop every table of the store."""
+        for name in list(self.paths):
+            with contextlib.suppress(Exception):  # the session may be gone at exit
+                self._drop(name)
 
-    def _write(self, keys: DataFrame) -> tuple[str, str]:
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists {name}")
+        remove_path(self.spark, self.paths.pop(name))
+
+    def _write(self, df: DataFrame, column: str) -> str:
         name, path = f"kildestrom_run_{uuid.uuid4().hex}", fresh_path(self.spark, "run")
-        keys.repartition(self.buckets, "key").sortWithinPartitions("key").write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).format("parquet").saveAsTable(name)
-        return name, path
-
-    def add(self, rows: DataFrame) -> None:
-        """Take in a written batch of entries as a new run; compact when there are too many."""
-        name, path = self._write(self._keys(_titles(rows)))
-        self.runs.append((rows, name, path))
-        if len(self.runs) > MAX_RUNS:
+        self.paths[name] = path
+        df.repartition(self.buckets, column).sortWithinPartitions(column).write.bucketBy(self.buckets, column).sortBy(column).option("path", path).format("parquet").saveAsTable(name)
+        return name
+
+    def _settle(self, titles: DataFrame) -> None:
+        """The order of words, rarest first, and the keys that too many titles share."""
+        self.counts = count_table(titles.select("wl"))
+        self.hot = count_table(titles.select("wl", "numbers").mapInArrow(_pair_keys(self.counts, None), "key bigint")) > self.hot_key
+
+    def _run(self, titles: DataFrame, addresses: DataFrame) -> Run:
+        """Write distinct titles and addresses (key, t1, t2, first) as a run."""
+        name = self._write(titles, "t1")
+        titles = self.spark.table(name)
+        if self.counts is None:
+            self._settle(titles)
+        keys = titles.mapInArrow(_pair_keys(self.counts, self.hot), _KEYS)
+        marks = addresses.select("key", "t1", "t2", "first", F.lit(ADDRESS).alias("n"), F.lit(0).cast("bigint").alias("sketch"))
+        short = titles.filter(F.size("wl") <= EDITS).groupBy("numbers").agg(F.min("first").alias("least"))
+        return Run(self._write(keys.unionByName(marks), "key"), name, cut(short, "short"))
+
+    def _run_of(self, batch: DataFrame) -> Run:
+        titles = batch.filter("t1 is not null").groupBy("t1", "t2").agg(F.min("ord").alias("first"), F.first("wl").alias("wl"), F.first("numbers").alias("numbers"))
+        addresses = batch.filter("a1 is not null").groupBy("a1", "a2").agg(F.min("ord").alias("first"))
+        return self._run(titles, addresses.select(F.col("a1").alias("key"), F.col("a1").alias("t1"), F.col("a2").cast("bigint").alias("t2"), "first"))
+
+    def add(self, batch: DataFrame) -> None:
+        """Take in a written batch of entries that needs no screening."""
+        self.runs.append(self._run_of(batch))
+        if len(self.runs) > self.max_runs:
             self.compact()
 
     def compact(self) -> None:
-        """Merge all runs into one; a title keeps the order of its first row."""
-        keys = self._union([self.spark.table(n) for _, n, _ in self.runs]).groupBy("key", "t1", "t2", "n", "sketch").agg(F.min("first").alias("first"))
-        rows = cut(self._union([r for r, _, _ in self.runs]), "entries")
-        old, merged = self.runs, self._write(keys.select("key", "t1", "t2", "first", "n", "sketch"))
-        self.runs = [(rows, *merged)]
-        for _, name, path in old:
-            self.spark.sql(f"drop table if exists {name}")
-            remove_path(self.spark, path)
-
-    @staticmethod
-    def _union(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        """Merge all runs into one; a title or address keeps the order of its first row, words are ordered anew."""
+        old = self.runs
+        union = lambda names: _union([self.spark.table(n) for n in names])
+        titles = union([r.titles for r in old]).groupBy("t1", "t2").agg(F.min("first").alias("first"), F.first("wl").alias("wl"), F.first("numbers").alias("numbers"))
+        addresses = union([r.keys for r in old]).filter(F.col("n") == ADDRESS).groupBy("key", "t1", "t2").agg(F.min("first").alias("first"))
+        self.counts = None
+        self.runs = [self._run(titles, addresses)]
+        for r in old:
+            self._drop(r.keys)
+            self._drop(r.titles)
+
+    def take(self, batch: DataFrame) -> DataFrame:
+        """Orders (ord) of a written batch's rows that repeat an earlier row of the batch or of the history; it is history then.
+
+        Earlier means a smaller order; history comes with orders below those of the batch. Copies of one address or
+        title are met through its first row, however many there are. The result is written.
+        """
+        run, spark = self._run_of(batch), self.spark
+        late = spark.table(run.keys).select("key", *[F.col(c).alias(f"b_{c}") for c in ("t1", "t2", "first", "n", "sketch")])
+        new = spark.table(run.titles)
+        new_words = new.select(F.col("t1").alias("b_t1"), F.col("t2").alias("b_t2"), F.col("wl").alias("b_wl"))
+        window = (F.col("first") < F.col("b_first")) & F.col("n").between(F.col("b_n") - EDITS, F.col("b_n") + EDITS) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("b_sketch"))) <= 2 * EDITS)
+        same = (F.col("t1") == F.col("b_t1")) & (F.col("t2") == F.col("b_t2"))
+        titles, addresses = [], []
+        for side in [*self.runs, run]:
+            met = cut(spark.table(side.keys).join(late, "key").filter(window & (same == (F.col("n") == ADDRESS))).select((F.col("n") == ADDRESS).alias("address"), "t1", "t2", "b_t1", "b_t2").distinct(), "met")
+            addresses.append(met.filter("address").select("t1", "t2"))
+            words = spark.table(side.titles).select("t1", "t2", "wl")
+            both = met.filter("not address").drop("address").join(new_words, ["b_t1", "b_t2"]).join(words, ["t1", "t2"])
+            titles.append(both.filter(word_distance(F.col("wl"), F.col("b_wl")) <= EDITS).select(F.col("b_t1").alias("t1"), F.col("b_t2").alias("t2")))
+            if side is not run:
+                titles.append(new.select("t1", "t2").join(words.select("t1", "t2"), ["t1", "t2"], "left_semi"))
+        titles.append(self._near_short(new, run))
+        found = _union(titles).distinct().withColumn("old", F.lit(True))
+        known = _union(addresses).distinct().withColumn("old", F.lit(True))
+        rows = batch.select("ord", "a1", "a2", "t1", "t2").distinct()
+        firsts = new.select("t1", "t2", "first").join(found, ["t1", "t2"], "left")
+        places = spark.table(run.keys).filter(F.col("n") == ADDRESS).select("t1", "t2", "first").join(known, ["t1", "t2"], "left").select(F.col("t1").alias("a1"), F.col("t2").cast("int").alias("a2"), "first", "old")
+        late_one = F.col("old") | (F.col("ord") > F.col("first"))
+        out = rows.join(firsts, ["t1", "t2"]).filter(late_one).select("ord").unionByName(rows.join(places, ["a1", "a2"]).filter(late_one).select("ord"))
+        out = cut(out.distinct(), "repeats")
+        self.runs.append(run)
+        if len(self.runs) > self.max_runs:
+            self.compact()
         return out
 
-    def entries(self) -> DataFrame | None:
-        return self._union([r for r, _, _ in self.runs]) if self.runs else None
-
-    def near(self, titles: DataFrame) -> DataFrame:
-        """Titles (t1, t2) of a batch within the edit limit of an earlier one, in a run or in the batch itself."""
-        new = self._keys(titles)
-        new = cut(new, "batch-keys") if len(self.runs) > 1 else new
-        late = new.select("key", *[F.col(c).alias(f"b_{c}") for c in ("t1", "t2", "first", "n", "sketch")])
-        sides = [self.spark.table(name) for _, name, _ in self.runs] + [new]
-        close = (F.abs(F.col("n") - F.col("b_n")) <= EDITS) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("b_sketch"))) <= 2 * EDITS) & (F.col("first") < F.col("b_first"))
-        pairs = self._union([s.join(late, "key").filter(close).select("t1", "t2", "b_t1", "b_t2") for s in sides]).filter("t1 <> b_t1 or t2 <> b_t2").distinct()
-        own = titles.select("t1", "t2", "wl")
-        past = self.entries()
-        words = own if past is None else _titles(past).select("t1", "t2", "wl").unionByName(own).groupBy("t1", "t2").agg(F.first("wl").alias("wl"))
-        late_words = own.select(F.col("t1").alias("b_t1"), F.col("t2").alias("b_t2"), F.col("wl").alias("b_wl"))
-        both = pairs.join(late_words, ["b_t1", "b_t2"]).join(words, ["t1", "t2"])
-        close = both.filter(word_distance(F.col("wl"), F.col("b_wl")) <= EDITS).select(F.col("b_t1").alias("t1"), F.col("b_t2").alias("t2"))
-        return close.unionByName(self._near_short(titles, past)).distinct()
-
-    @staticmethod
-    def _near_short(titles: DataFrame, past: DataFrame | None) -> DataFrame:
+    def _near_short(self, titles: DataFrame, run: Run) -> DataFrame:
         """Titles of at most EDITS words after another of the same numbers: any two are within the limit, without a common word.
 
         The first row of each set of numbers decides, so no pairs are formed.
         """
         short = titles.filter(F.size("wl") <= EDITS).select("t1", "t2", "first", "numbers")
-        every = short.select("numbers", "first")
-        if past is not None:
-            every = every.unionByName(past.filter((F.size("wl") <= EDITS) & F.col("t1").isNotNull()).select("numbers", F.col("ord").alias("first")))
-        least = every.groupBy("numbers").agg(F.min("first").alias("least"))
+        least = _union([r.short for r in [*self.runs, run]]).groupBy("numbers").agg(F.min("least").alias("least"))
         return short.join(least, "numbers").filter("least < first").select("t1", "t2")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def word_distance(a: Column, b: Column) -> Column:
     """Words added, dropped or replaced between two arrays of word hashes: Levenshtein over one character per word."""
     union = F.array_union(a, b)
@@ -213,19 +294,10 @@ def word_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(letters(a), letters(b))
 
 
-def screen(store: RunStore, batch: DataFrame) -> DataFrame:
-    """Orders of a written batch's rows that repeat an earlier row of the batch or of the history; `store.add` takes the batch in afterwards.
-
-    Earlier means a smaller order; history comes with orders below those of the batch. Copies of one address or title
-    are met through its first row, however many there are.
-    """
-    past = store.entries()
-    every = batch if past is None else past.unionByName(batch)
-    addresses = every.filter("a2 is not null").groupBy("a1", "a2").agg(F.min("ord").alias("first"))
-    titles = every.filter("t1 is not null").groupBy("t1", "t2").agg(F.min("ord").alias("first"))
-    near = store.near(_titles(batch))
-    rows = batch.select("ord", "a1", "a2", "t1", "t2").distinct()
-    same_address = rows.join(addresses, ["a1", "a2"]).filter("first < ord").select("ord")
-    same_title = rows.join(titles, ["t1", "t2"]).filter("first < ord").select("ord")
-    near_title = rows.join(near, ["t1", "t2"], "left_semi").select("ord")
-    return same_address.unionByName(same_title).unionByName(near_title).distinct()
+def take_in_order(store: RunStore, rows: DataFrame, batches: list[tuple[int, int]], names: DataFrame, url: str = "url", title: str = "title") -> DataFrame:
+    """Screen batches of rows (ord and the named columns), given as ranges of orders, one after the other."""
+    found = []
+    for low, high in batches:
+        part = rows.filter(F.col("ord").between(low, high))
+        found.append(store.take(cut(entries(part, F.col("ord"), F.col(url), F.col(title), names), "entries")))
+    return _union(found) if found else rows.sparkSession.createDataFrame([], "ord bigint")

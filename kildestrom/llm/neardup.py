@@ -20,13 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kildestrom.llm.lookalikes import Canoniser
-from kildestrom.llm.words import chunks, mix, word_sets
+from kildestrom.llm.words import chunks, count_table, mix, place_of, spread, word_sets
 from kildestrom.operators.components import components
 from kildestrom.session import cut
 
 SIMILARITY = Fraction(3, 4)
-#: Places of the count table; words that meet in one count together.
-COUNT_PLACES = 1 << 18
 #: Sets in one tree, and queries of one task, on average at most: a hot word gets a grid of trees and blocks of queries.
 TREE_SETS = 20_000
 #: Rows that are searched together, and pairs of a query and a node that are visited at once.
@@ -106,32 +104,6 @@ def _ceil(x: Fraction, n: np.ndarray) -> np.ndarray:
     return -(-(n * x.numerator) // x.denominator)
 
 
-def _spread(words: np.ndarray) -> np.ndarray:
-    return mix(words.astype("int64").view("uint64") + np.uint64(0x9E3779B97F4A7C15))
-
-
-def _place(words: np.ndarray) -> np.ndarray:
-    """The place of words in the count table."""
-    return (_spread(words) >> np.uint64(20)).astype("int64") & (COUNT_PLACES - 1)
-
-
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches (wh) -> (place, n): sets that hold a word of each place, summed over the partition."""
-    total = np.zeros(COUNT_PLACES, "int64")
-    for b in batches:
-        total += np.bincount(_place(b["wh"].flatten().to_numpy(zero_copy_only=False)), minlength=COUNT_PLACES)
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype("int32")), pa.array(total[seen])], ["place", "n"])
-
-
-def word_counts(sets: DataFrame) -> np.ndarray:
-    """The count table of all sets; at most COUNT_PLACES sums reach the driver."""
-    rows = sets.select("wh").mapInArrow(_count_rows, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(COUNT_PLACES, "int64")
-    counts[rows["place"].to_numpy("int64")] = rows["n"].to_numpy("int64")
-    return counts
-
-
 _CELLS = "shard bigint, h bigint, s0 bigint, s1 bigint, meta int"
 
 
@@ -161,8 +133,8 @@ def _prefix_rows(counts: np.ndarray, similarity: Fraction):
             if not size.sum():
                 continue
             w = lists.flatten().to_numpy(zero_copy_only=False)
-            of, spread, often = np.repeat(np.arange(len(size)), size), _spread(w), counts[_place(w)]
-            order = np.lexsort((spread, often, of))
+            of, token, often = np.repeat(np.arange(len(size)), size), spread(w), counts[place_of(w)]
+            order = np.lexsort((token, often, of))
             place = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
             probe, node = size - _ceil(similarity, size) + 1, size - _ceil(index, size) + 1
             keep = place < probe[of]
@@ -172,7 +144,7 @@ def _prefix_rows(counts: np.ndarray, similarity: Fraction):
             own = np.abs(h[row] % trees)
             many = np.repeat(np.arange(len(row)), trees)
             other = np.arange(len(many)) - np.repeat(np.cumsum(trees) - trees, trees)
-            mine, is_node, word = own[many], is_node[many], spread[pick][many]
+            mine, is_node, word = own[many], is_node[many], token[pick][many]
             cell = lambda tree, block: mix(word + mix(tree.astype("uint64") << np.uint64(32) | block.astype("uint64"))).view("int64")
             apart = (is_node == 1) & (other != mine)
             shard = np.concatenate([cell(other, mine), cell(mine, other)[apart]])  # as a query, as a node
@@ -272,7 +244,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(size):
                 continue
             starts = np.cumsum(size) - size
-            x = _spread(w)
+            x = spread(w)
             bit, high = np.left_shift(np.uint64(1), x & np.uint64(63)), (x >> np.uint64(6)) & np.uint64(1) == 1
             s0 = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), starts)
             s1 = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), starts)
@@ -290,7 +262,7 @@ def word_set_table(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 def near_links(sets: DataFrame, similarity: Fraction = SIMILARITY) -> DataFrame:
     """Links (ha, sa, hb, sb) between different word sets of a written table (key, h, s0, s1, wh), each once."""
-    rows = sets.select("h", "s0", "s1", "wh").mapInArrow(_prefix_rows(word_counts(sets), similarity), _CELLS)
+    rows = sets.select("h", "s0", "s1", "wh").mapInArrow(_prefix_rows(count_table(sets.select("wh")), similarity), _CELLS)
     near = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search_rows(similarity), "ha bigint, sa bigint, hb bigint, sb bigint").distinct()
     texts = sets.groupBy("h", "s0").agg(F.first("wh").alias("wh"))
     one = texts.select(F.col("h").alias("ha"), F.col("s0").alias("sa"), F.col("wh").alias("wa"))

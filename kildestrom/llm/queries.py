@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kildestrom.llm.history import RunStore, entries, screen
+from kildestrom.llm.history import RunStore, entries, take_in_order
 from kildestrom.llm.lookalikes import bigram_model, disguised_fields
 from kildestrom.llm.mixing import mixture, mixture_report
 from kildestrom.llm.neardup import group_pairs, near_groups
@@ -52,13 +52,24 @@ def source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.select("name").unionByName(sources.select(F.explode("domains").alias("name"))).filter("name is not null").distinct()
 
 
+#: How many intakes the raw entries come in: consecutive batches are taken together.
+INTAKES = 3
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw entries that bring nothing new; the accepted candidates are the first run of the history."""
+    """Raw entries that bring nothing new; the accepted candidates are the first run of the history.
+
+    Batches are taken in the order of `ord`, several consecutive ones at a time, and are history for the next.
+    """
     names = source_names(spark, sf_dir)
-    store = RunStore(spark)
-    past, new = table(spark, sf_dir, "candidate"), table(spark, sf_dir, "raw_entry")
+    past, new = table(spark, sf_dir, "candidate"), table(spark, sf_dir, "raw_entry").filter("ord is not null")
+    store = RunStore(spark, max_runs=2)
     store.add(cut(entries(past, F.lit(-1), F.col("url"), F.col("title"), names), "entries"))
-    return screen(store, cut(entries(new, F.col("ord"), F.col("url"), F.col("title"), names), "entries"))
+    ends = [r.last for r in new.groupBy("batch").agg(F.max("ord").alias("last")).orderBy("last").collect()]  # a row a batch
+    cuts = sorted({ends[(k + 1) * len(ends) // INTAKES - 1] for k in range(INTAKES)} | {ends[-1]}) if ends else []
+    found = take_in_order(store, new, [(low + 1, high) for low, high in zip([-1, *cuts], cuts)], names)
+    store.close()
+    return found
 
 
 QUERIES |= {"p3_found": p3_found}

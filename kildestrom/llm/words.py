@@ -7,12 +7,17 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kildestrom.llm.lookalikes import SUSPICIOUS, Canoniser
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Characters that are read together; a longer text is read alone.
 CHUNK_CHARACTERS = 2_000_000
+#: Places of a count table; what meets in one is counted together.
+COUNT_PLACES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,3 +91,34 @@ def word_sets(texts: list[str], canon: Canoniser) -> tuple[np.ndarray, np.ndarra
     new = np.r_[True, both[1:] != both[:-1]][: len(both)]
     both = both[new]
     return both.astype("uint32").view("int32"), np.bincount(both >> 32, minlength=len(texts))
+
+
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """Mixed 64-bit forms of short hashes."""
+    return mix(hashes.astype("int64").view("uint64") + np.uint64(0x9E3779B97F4A7C15))
+
+
+def place_of(hashes: np.ndarray) -> np.ndarray:
+    """The places of hashes in a count table."""
+    return (spread(hashes) >> np.uint64(20)).astype("int64") & (COUNT_PLACES - 1)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNT_PLACES, "int64")
+    for b in batches:
+        values = b.column(0)
+        values = values.flatten() if pa.types.is_list(values.type) else values
+        total += np.bincount(place_of(values.to_numpy(zero_copy_only=False)), minlength=COUNT_PLACES)
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype("int32")), pa.array(total[seen])], ["place", "n"])
+
+
+def count_table(hashes: DataFrame) -> np.ndarray:
+    """How often the hashes of a one-column table (numbers or arrays) come, never too low: a hashed table of fixed size.
+
+    Each partition counts into one array; at most COUNT_PLACES sums reach the driver.
+    """
+    rows = hashes.mapInArrow(_counted, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNT_PLACES, "int64")
+    counts[rows["place"].to_numpy("int64")] = rows["n"].to_numpy("int64")
+    return counts

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kildestrom.llm.history import RunStore, entries, screen, word_distance
+from kildestrom.llm.history import RunStore, entries, take_in_order, word_distance
 from kildestrom.llm.lookalikes import Canoniser
 from kildestrom.llm.neardup import Forest, group_pairs, near_groups
 from kildestrom.llm.words import word_sets
@@ -143,30 +143,47 @@ def _found(rows):
     out = set()
     for k, (o, u, w, n) in enumerate(read):
         for o2, u2, w2, n2 in read[:k]:
-            if o2 < o and (u and u == u2 or w and w2 and (w == w2 or n == n2 and set(w) & set(w2) and _lev(w, w2) <= 2)):
+            if o2 < o and (u and u == u2 or w and w2 and (w == w2 or n == n2 and _lev(w, w2) <= 2)):
                 out.add(o)
                 break
     return out
 
 
-def test_batches_equal_brute_force_at_once_and_one_by_one(spark):
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_batches_equal_brute_force_at_once_and_one_by_one(spark, hot):
     rows = _titles(4, 120)
-    names = spark.createDataFrame([("A Kilde",)], "name string")
+    names = spark.createDataFrame([("A Kilde",), (None,)], "name string")
     df = spark.createDataFrame(rows, "ord bigint, url string, title string").withColumn("t1", F.lit("clash"))
     want = _found(rows)
-    all_at_once = screen(RunStore(spark, 4), cut(entries(df, F.col("ord"), F.col("url"), F.col("title"), names), "e"))
-    assert {r.ord for r in all_at_once.collect()} == want
-    store, got = RunStore(spark, 4), set()
-    for low, high in ((0, 60), (60, 130), (130, 10**6)):
-        batch = cut(entries(df.filter(F.col("ord").between(low, high - 1)), F.col("ord"), F.col("url"), F.col("title"), names), "e")
-        got |= {r.ord for r in screen(store, batch).collect()}
-        store.add(batch)
-        if low == 60:
-            store.compact()
-            assert len(store.runs) == 1
-    assert got == want
-    empty = cut(entries(df.filter("false"), F.col("ord"), F.col("url"), F.col("title"), names), "e")
-    assert screen(store, empty).count() == 0
+    store = RunStore(spark, 4, hot_key=hot)
+    assert {r.ord for r in take_in_order(store, df, [(0, 10**6)], names).collect()} == want
+    store.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("kildestrom_run_")]
+    store = RunStore(spark, 4, max_runs=2, hot_key=hot)
+    assert {r.ord for r in take_in_order(store, df, [(0, 59), (60, 129), (130, 180), (181, 10**6)], names).collect()} == want
+    assert len(store.runs) <= 2  # runs were compacted on the way
+    assert take_in_order(store, df.filter("false"), [(0, 9)], names).count() == 0
+    store.close()
+
+
+def test_history_is_not_shuffled_for_a_batch(spark, monkeypatch):
+    import kildestrom.llm.history as m
+
+    names = spark.createDataFrame([("A Kilde",)], "name string")
+    df = spark.createDataFrame(_titles(6, 60), "ord bigint, url string, title string")
+    read = lambda part: cut(entries(part, F.col("ord"), F.col("url"), F.col("title"), names), "e")
+    store, plans = RunStore(spark, 4), []
+    store.add(read(df.filter("ord < 40")))
+    old = store.runs[0]
+    monkeypatch.setattr(m, "cut", lambda d, name: plans.append(d._jdf.queryExecution().executedPlan().toString()) or cut(d, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a batch too large to be broadcast
+    try:
+        store.take(read(df.filter("ord >= 40")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    met = [p for p in plans if old.keys in p]
+    assert met and all("SortMergeJoin" in p and p.count("Exchange hashpartitioning(key") == 0 for p in met)
+    store.close()
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
