@@ -168,6 +168,7 @@ class Run:
     keys: str
     titles: str
     short: DataFrame
+    rows: int
 
 
 class RunStore:
@@ -197,8 +198,8 @@ class RunStore:
         return name
 
     def _settle(self, titles: DataFrame) -> None:
-        """The order of words, rarest first, and the keys that too many titles share."""
-        self.counts = count_table(titles.select("wl"))
+        """The order of words, rarest first and in steps of an eighth of a doubling, and the keys that too many titles share."""
+        self.counts = np.minimum(8 * np.log2(count_table(titles.select("wl")) + 1.0), 255).astype("uint8")
         self.hot = count_table(titles.select("wl", "numbers").mapInArrow(_pair_keys(self.counts, None), "key bigint")) > self.hot_key
 
     def _run(self, titles: DataFrame, addresses: DataFrame) -> Run:
@@ -209,8 +210,12 @@ class RunStore:
             self._settle(titles)
         keys = titles.mapInArrow(_pair_keys(self.counts, self.hot), _KEYS)
         marks = addresses.select("key", "t1", "t2", "first", F.lit(ADDRESS).alias("n"), F.lit(0).cast("bigint").alias("sketch"))
-        short = titles.filter(F.size("wl") <= EDITS).groupBy("numbers").agg(F.min("first").alias("least"))
-        return Run(self._write(keys.unionByName(marks), "key"), name, cut(short, "short"))
+        return self._finish(self._write(keys.unionByName(marks), "key"), name)
+
+    def _finish(self, keys: str, titles: str) -> Run:
+        rows = self.spark.table(titles)
+        short = rows.filter(F.size("wl") <= EDITS).groupBy("numbers").agg(F.min("first").alias("least"))
+        return Run(keys, titles, cut(short, "short"), rows.count())
 
     def _run_of(self, batch: DataFrame) -> Run:
         titles = batch.filter("t1 is not null").groupBy("t1", "t2").agg(F.min("ord").alias("first"), F.first("wl").alias("wl"), F.first("numbers").alias("numbers"))
@@ -219,18 +224,33 @@ class RunStore:
 
     def add(self, batch: DataFrame) -> None:
         """Take in a written batch of entries that needs no screening."""
-        self.runs.append(self._run_of(batch))
+        self._keep(self._run_of(batch))
+
+    def _keep(self, run: Run) -> None:
+        self.runs.append(run)
         if len(self.runs) > self.max_runs:
             self.compact()
 
     def compact(self) -> None:
-        """Merge all runs into one; a title or address keeps the order of its first row, words are ordered anew."""
-        old = self.runs
+        """Merge the newest runs, and every older one that isn't twice as large as they are together: a large history is left alone.
+
+        A title or address keeps the order of its first row. When the oldest run takes part, words are ordered anew.
+        """
+        old = [self.runs.pop(), self.runs.pop()] if len(self.runs) > 1 else []
+        while self.runs and self.runs[-1].rows < 2 * sum(r.rows for r in old):
+            old.append(self.runs.pop())
+        if not old:
+            return
         union = lambda names: _union([self.spark.table(n) for n in names])
         titles = union([r.titles for r in old]).groupBy("t1", "t2").agg(F.min("first").alias("first"), F.first("wl").alias("wl"), F.first("numbers").alias("numbers"))
-        addresses = union([r.keys for r in old]).filter(F.col("n") == ADDRESS).groupBy("key", "t1", "t2").agg(F.min("first").alias("first"))
-        self.counts = None
-        self.runs = [self._run(titles, addresses)]
+        keys = union([r.keys for r in old])
+        if self.runs:
+            merged = keys.groupBy("key", "t1", "t2", "n", "sketch").agg(F.min("first").alias("first")).select("key", "t1", "t2", "first", "n", "sketch")
+            run = self._finish(self._write(merged, "key"), self._write(titles, "t1"))
+        else:
+            self.counts = None
+            run = self._run(titles, keys.filter(F.col("n") == ADDRESS).groupBy("key", "t1", "t2").agg(F.min("first").alias("first")))
+        self.runs.append(run)
         for r in old:
             self._drop(r.keys)
             self._drop(r.titles)
@@ -247,27 +267,25 @@ class RunStore:
         new_words = new.select(F.col("t1").alias("b_t1"), F.col("t2").alias("b_t2"), F.col("wl").alias("b_wl"))
         window = (F.col("first") < F.col("b_first")) & F.col("n").between(F.col("b_n") - EDITS, F.col("b_n") + EDITS) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("b_sketch"))) <= 2 * EDITS)
         same = (F.col("t1") == F.col("b_t1")) & (F.col("t2") == F.col("b_t2"))
-        titles, addresses = [], []
-        for side in [*self.runs, run]:
-            met = cut(spark.table(side.keys).join(late, "key").filter(window & (same == (F.col("n") == ADDRESS))).select((F.col("n") == ADDRESS).alias("address"), "t1", "t2", "b_t1", "b_t2").distinct(), "met")
-            addresses.append(met.filter("address").select("t1", "t2"))
+        sides = [*self.runs, run]
+        met = [spark.table(side.keys).join(late, "key").filter(window & (same == (F.col("n") == ADDRESS))).select(F.lit(k).alias("side"), (F.col("n") == ADDRESS).alias("address"), "t1", "t2", "b_t1", "b_t2") for k, side in enumerate(sides)]
+        met = cut(_union(met).distinct(), "met")
+        titles = [self._near_short(new, run)]
+        for k, side in enumerate(sides):
             words = spark.table(side.titles).select("t1", "t2", "wl")
-            both = met.filter("not address").drop("address").join(new_words, ["b_t1", "b_t2"]).join(words, ["t1", "t2"])
+            both = met.filter((F.col("side") == k) & ~F.col("address")).select("t1", "t2", "b_t1", "b_t2").join(new_words, ["b_t1", "b_t2"]).join(words, ["t1", "t2"])
             titles.append(both.filter(word_distance(F.col("wl"), F.col("b_wl")) <= EDITS).select(F.col("b_t1").alias("t1"), F.col("b_t2").alias("t2")))
             if side is not run:
                 titles.append(new.select("t1", "t2").join(words.select("t1", "t2"), ["t1", "t2"], "left_semi"))
-        titles.append(self._near_short(new, run))
         found = _union(titles).distinct().withColumn("old", F.lit(True))
-        known = _union(addresses).distinct().withColumn("old", F.lit(True))
+        known = met.filter("address").select("t1", "t2").distinct().withColumn("old", F.lit(True))
         rows = batch.select("ord", "a1", "a2", "t1", "t2").distinct()
         firsts = new.select("t1", "t2", "first").join(found, ["t1", "t2"], "left")
         places = spark.table(run.keys).filter(F.col("n") == ADDRESS).select("t1", "t2", "first").join(known, ["t1", "t2"], "left").select(F.col("t1").alias("a1"), F.col("t2").cast("int").alias("a2"), "first", "old")
         late_one = F.col("old") | (F.col("ord") > F.col("first"))
         out = rows.join(firsts, ["t1", "t2"]).filter(late_one).select("ord").unionByName(rows.join(places, ["a1", "a2"]).filter(late_one).select("ord"))
         out = cut(out.distinct(), "repeats")
-        self.runs.append(run)
-        if len(self.runs) > self.max_runs:
-            self.compact()
+        self._keep(run)
         return out
 
     def _near_short(self, titles: DataFrame, run: Run) -> DataFrame:

@@ -53,7 +53,7 @@ def source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: How many intakes the raw entries come in: consecutive batches are taken together.
-INTAKES = 3
+INTAKES = 2
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     names = source_names(spark, sf_dir)
     past, new = table(spark, sf_dir, "candidate"), table(spark, sf_dir, "raw_entry").filter("ord is not null")
-    store = RunStore(spark, max_runs=2)
+    store = RunStore(spark)
     store.add(cut(entries(past, F.lit(-1), F.col("url"), F.col("title"), names), "entries"))
     ends = [r.last for r in new.groupBy("batch").agg(F.max("ord").alias("last")).orderBy("last").collect()]  # a row a batch
     cuts = sorted({ends[(k + 1) * len(ends) // INTAKES - 1] for k in range(INTAKES)} | {ends[-1]}) if ends else []
