@@ -1,9 +1,11 @@
 """Texts that were cut off: right-censored length distributions per source combined with the evidence of the ending.
 
-Per source, lengths are fitted by maximum likelihood as normal and censored at the lengths where values pile up. A
-value's censoring posterior at such a limit is its prior of being cut. Evidence of the ending comes from counts over
-every inner, hence complete, sentence of all texts: how often a sentence ends after the last words, and how often a
-word ends after its last letters. Counts live in hashed tables of fixed size.
+Per source, lengths are fitted by maximum likelihood as normal and censored at candidate limits: lengths where values
+pile up, and the longest stretch before a cliff, where texts are cut at the last blank before a limit. A value's
+censoring posterior at such a limit is its prior of being cut; elsewhere that is the share of transfers that break.
+Evidence of the ending comes from signs and words that mark a cut and from counts over every inner, hence complete,
+sentence of all texts: how often a sentence ends after the last words, and how often a word ends after its last
+letters. Counts live in hashed tables of fixed size and don't depend on how rows lie in partitions.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kildestrom.llm.lookalikes import SUSPICIOUS, Canoniser
-from kildestrom.session import small_side
+from kildestrom.session import cut, small_side
 
 BUCKETS = 1 << 17
 #: Share of cut values that is assumed where lengths tell nothing.
 BACKGROUND = 0.03
+#: Log odds of a cut that a mark at the end gives.
+MARKED = 20.0
 
 # Signs and words that mark a cut at the end of a text.
 MARKS = re.compile(
@@ -73,27 +77,28 @@ class Reader:
 
 
 def _contexts(shapes: list[str], k: int) -> tuple[str, str, str]:
+    """The last word, the last two, and these with the word that the sentence begins with."""
     one = shapes[k]
     two = (shapes[k - 1] if k else "^") + " " + one
-    return one, two, (shapes[k - 2] if k > 1 else "^") + " " + two
+    return one, two, shapes[0] + " … " + two
 
 
 _ROWS = "grams int, bucket int, ended bigint, seen bigint"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of all inner sentences of a partition: tables 0-2 are one to three words, 3-4 the last letters of words."""
+    """Counts of all inner sentences of a partition: tables 0-2 are words in growing context, 3-4 the last letters of words."""
     reader, ends, seen = Reader(), [Counter() for _ in range(5)], [Counter() for _ in range(5)]
     tables = np.zeros((2, 5, BUCKETS), "int64")
-    words: set[str] = set()
+    words: Counter[str] = Counter()
 
     def flush() -> None:
-        for w in words:
+        for w, times in words.items():
             marked = "^" + w
             for table, n in ((3, 6), (4, 4)):
-                ends[table][marked[-n:]] += 1
+                ends[table][marked[-n:]] += times
                 for k in range(2, len(marked)):
-                    seen[table][marked[max(0, k - n) : k]] += 1
+                    seen[table][marked[max(0, k - n) : k]] += times
         words.clear()
         for which, counters in enumerate((ends, seen)):
             for g, c in enumerate(counters):
@@ -156,7 +161,7 @@ class Endings:
 def learn_endings(texts: DataFrame) -> Endings:
     """Count the endings of every inner sentence of a one-column table; at most 5 * BUCKETS sums reach the driver."""
     rows = texts.mapInArrow(_count, _ROWS).groupBy("grams", "bucket").agg(F.sum("ended").alias("ended"), F.sum("seen").alias("seen")).toPandas()
-    ended, seen = np.zeros((5, BUCKETS), "int32"), np.zeros((5, BUCKETS), "int32")
+    ended, seen = np.zeros((5, BUCKETS), "int64"), np.zeros((5, BUCKETS), "int64")
     g, b = rows["grams"].to_numpy().astype("int64"), rows["bucket"].to_numpy().astype("int64")
     ended[g, b], seen[g, b] = rows["ended"].to_numpy(), rows["seen"].to_numpy()
     return Endings(ended, seen)
@@ -185,67 +190,88 @@ def censored_fit(length: np.ndarray, n: np.ndarray, limit: float) -> tuple[float
     return mu, sigma
 
 
+#: Characters before a cliff in which texts end that are cut at the last blank.
+WINDOW = 16
+
+
+def _share(low: float, high: float, mu: float, sigma: float) -> float:
+    """Share of a normal distribution between two lengths, both included."""
+    at = lambda x: 0.5 * math.erfc(-(x - mu) / sigma / math.sqrt(2))
+    return at(high + 0.5) - at(low - 0.5)
+
+
 def _posteriors(histogram: pd.DataFrame) -> pd.DataFrame:
-    """Lengths of one source at which values pile up, with the share of them that the fit takes for censored."""
+    """Lengths of one source at candidate limits, with the share of them that the fit takes for censored."""
     h = histogram.sort_values("length")
     length, n = h["length"].to_numpy(), h["n"].to_numpy().astype(float)
-    total, out = n.sum(), []
+    total, out = n.sum(), {}
     upto = np.r_[0, n.cumsum()]
-    around = (upto[np.searchsorted(length, length + 8, "right")] - upto[np.searchsorted(length, length - 8)] - n) / 16
+    within = lambda low, high: upto[np.searchsorted(length, high, "right")] - upto[np.searchsorted(length, low)]
+    around = (within(length - 8, length + 8) - n) / 16
     for at, count, near in zip(length, n, around, strict=True):
         if count < 5 or count < 5 * max(near, 0.3):
             continue
         mu, sigma = censored_fit(length, n, at)
-        z = (at - mu) / sigma
-        expected = max(total * math.exp(-z * z / 2) / (sigma * math.sqrt(2 * math.pi)), near)
-        out.append((h["source"].iloc[0], int(at), int(count), float(mu), float(sigma), max(0.0, 1 - expected / count)))
-    return pd.DataFrame(out, columns=["source", "length", "n", "mu", "sigma", "posterior"])
-
-
-def length_limits(df: DataFrame, source: str, text: str) -> DataFrame:
-    """Rows (source, length, n, mu, sigma, posterior) of likely field limits; a source's histogram has its distinct lengths."""
-    length = F.length(text).alias("length")
-    histogram = df.filter(F.length(text) > 0).groupBy(F.coalesce(F.col(source), F.lit("")).alias("source"), length).agg(F.count("*").alias("n"))
+        expected = max(total * _share(at, at, mu, sigma), near)
+        out[int(at)] = (int(count), mu, sigma, max(0.0, 1 - expected / count))
+    free = np.r_[0, np.where(np.isin(length, list(out)), 0, n).cumsum()]  # what piles up at one length makes no cliff
+    before, after = free[1:] - free[np.searchsorted(length, length - WINDOW + 1)], within(length + 1, length + WINDOW)
+    steep = np.where((before >= 8) & (after <= 0.1 * before), before / (after + 1), 0)
+    if steep.max(initial=0) > 0:  # the cliff
+        at = length[steep.argmax()]
+        mu, sigma = censored_fit(length, n, at - WINDOW + 1)
+        for k in range(at - WINDOW + 1, at + 1):  # with its neighbours, as few texts have one length
+            count = float(within(k - 1, min(k + 1, at)))
+            posterior = max(0.0, 1 - total * _share(k - 1, min(k + 1, at), mu, sigma) / max(count, 1.0))
+            if posterior > 0 and (k not in out or out[k][3] < posterior):
+                out[k] = (int(count), mu, sigma, posterior)
+    rows = [(h["source"].iloc[0], k, c, float(mu), float(sigma), p) for k, (c, mu, sigma, p) in sorted(out.items())]
+    return pd.DataFrame(rows, columns=["source", "length", "n", "mu", "sigma", "posterior"])
+
+
+def length_limits(lengths: DataFrame) -> DataFrame:
+    """Rows (source, length, n, mu, sigma, posterior) of likely field limits of a table (source, length); a source's histogram has its distinct lengths."""
+    histogram = lengths.groupBy("source", "length").agg(F.count("*").alias("n"))
     return histogram.groupBy("source").applyInPandas(_posteriors, "source string, length int, n bigint, mu double, sigma double, posterior double")
 
 
 def _evidence(endings: Endings):
-    @F.pandas_udf("struct<marked boolean, stopped boolean, odds double>")
+    @F.pandas_udf("struct<stopped boolean, odds double>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         reader = Reader()
         base = endings.base / (1 - endings.base)
 
-        def one(text: str | None) -> tuple[bool, bool, float]:
+        def one(text: str | None) -> tuple[bool, float]:
             if not text or not text.strip():
-                return False, True, 0.0
+                return True, 0.0
             if _ENTITY.search(text):
-                return True, False, 20.0
+                return False, MARKED
             plain = reader(text)
             mark = MARKS.search(plain)
             body = plain[: mark.start()].rstrip() if mark else plain
             stopped = bool(_STOPPED.search(body))
             if mark:
-                return not stopped, stopped, 20.0
+                return stopped, MARKED
             tokens = _tokens(_SENTENCE.split(body)[-1].rstrip("»«”\"')] "))
             if not tokens:
-                return False, stopped, 0.0
+                return stopped, 0.0
             if stopped:
                 if not tokens[-1].endswith(".") or tokens[-1] == ".":
-                    return False, True, -20.0
+                    return True, -20.0
                 shapes = [_shape(t, k == 0) for k, t in enumerate(tokens)]
                 within, ended = endings.inside(shapes)
-                return False, True, math.log((max(within - 2, 0) + 0.05) / (ended + 1))
+                return True, math.log((max(within - 2, 0) + 0.05) / (ended + 1))
             shapes = [_shape(t, k == 0) for k, t in enumerate(tokens)]
             if not tokens[-1][0].isalnum():
-                return False, False, 12.0 if tokens[-1] in ",;:&-–(«»„“/" else 2.0
+                return False, 12.0 if tokens[-1] in ",;:&-–(«»„“/" else 2.0
             whole = endings.whole(tokens[-1]) if tokens[-1][0].isalpha() else 0.9
             p = min(max(endings.ends(shapes) * whole, 1e-6), 1 - 1e-6)
             if text != text.rstrip(" "):
                 p *= 0.3
-            return False, False, math.log(base) - math.log(p / (1 - p))
+            return False, math.log(base) - math.log(p / (1 - p))
 
         for s in batches:
-            yield pd.DataFrame([one(t) for t in s], columns=["marked", "stopped", "odds"])
+            yield pd.DataFrame([one(t) for t in s], columns=["stopped", "odds"])
 
     return judge
 
@@ -258,18 +284,19 @@ def judged(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text")).filter(F.length(F.trim("text")) > 0)
     judge = _evidence(learn_endings(rows.select("text")))
-    limits = length_limits(rows, "source", "text").select("source", "length", "posterior")
     seen = rows.select("key", "source", F.length("text").alias("length"), judge(F.col("text")).alias("e")).select("key", "source", "length", "e.*").distinct()
+    seen = cut(seen, "endings")
     # how a source ends its complete texts: with a stop, or without
     likely = F.when(F.col("stopped"), 1.0).otherwise(0.0)
-    bare = F.when(~F.col("stopped") & ~F.col("marked"), 1 / (1 + F.exp("odds"))).otherwise(0.0)
+    bare = F.when(~F.col("stopped") & (F.col("odds") < MARKED), 1 / (1 + F.exp("odds"))).otherwise(0.0)
     style = seen.groupBy("source").agg(((F.sum(likely) + 1.0) / (F.sum(likely) + F.sum(bare) + 1.5)).alias("stops"))
-    whole = seen.join(small_side(style), "source").join(small_side(limits), ["source", "length"], "left")
+    limits = length_limits(seen).select("source", "length", "posterior")
+    whole = seen.join(small_side(cut(style, "styles")), "source").join(small_side(cut(limits, "limits")), ["source", "length"], "left")
     posterior = F.when(F.col("stopped"), 0.0).otherwise(F.coalesce("posterior", F.lit(0.0)))  # a stop at a limit is chance
     prior = F.greatest(F.lit(BACKGROUND), F.least(posterior, F.lit(0.98)))
     missing = F.greatest(1 - F.col("stops"), F.lit(0.01))
     total = F.log(prior / (1 - prior)) - F.when(F.col("stopped"), 0.0).otherwise(F.log(missing)) + F.col("odds")
-    return whole.select("key", "source", (F.col("marked") | (total > 0)).alias("cut"))
+    return whole.select("key", "source", (total > 0).alias("cut"))
 
 
 def source_shares(records: DataFrame) -> DataFrame:

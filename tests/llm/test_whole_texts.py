@@ -1,11 +1,12 @@
 """The operators do the whole job on inputs that the data lack: very short titles and very long fields."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from kildestrom.llm.history import RunStore, entries, screen
+from kildestrom.llm.history import RunStore, entries
 from kildestrom.llm.truncation import length_limits
 from kildestrom.session import cut
 
@@ -32,15 +33,14 @@ def test_short_titles_need_no_common_word(spark, bounds):
     store, got = RunStore(spark, 4), set()
     for low, high in bounds:
         batch = cut(entries(df.filter(F.col("ord").between(low, high)), F.col("ord"), F.lit(None).cast("string"), F.col("title"), names), "e")
-        got |= {r.ord for r in screen(store, batch).collect()}
-        store.add(batch)
+        got |= {r.ord for r in store.take(batch).collect()}
     assert got == want
 
 
 def test_field_limits_are_found_at_any_length(spark):
     free = [("s", 3000 + 37 * k) for k in range(60)]
     rows = [(s, "x" * n) for s, n in free + [("s", 5000)] * 40]
-    found = {r.length: r.posterior for r in length_limits(spark.createDataFrame(rows, "source string, text string"), "source", "text").collect()}
+    found = {r.length: r.posterior for r in length_limits(spark.createDataFrame(rows, "source string, text string").select("source", F.length("text").alias("length"))).collect()}
     assert set(found) == {5000} and found[5000] > 0.5
 
 
@@ -70,3 +70,44 @@ def test_parameter_tables_beyond_their_bounds_are_errors(spark, tmp_path, monkey
     monkeypatch.setattr(problems, "MOST_ZONES", 1)
     with pytest.raises(ValueError, match="zone names"):
         problems.p4_found(spark, str(tmp_path))
+
+
+def _cut_at_blanks(seed=11):
+    """Texts of a source that writes no stops, every one of more than 90 characters cut at its last blank; another source with stops."""
+    r = random.Random(seed)
+    words = ["havn", "by", "skole", "vej", "pulje", "plan", "strand", "møde", "affald", "gård", "bro", "kanal"]
+    rows, cut = [], set()
+    for k in range(800):
+        text, wanted = "", r.gauss(75, 20)
+        while len(text) < wanted:
+            text += (" " if text else "") + r.choice(words)
+        if len(text) > 90:
+            cut.add(f"a{k}")
+            text = text[: text[:91].rfind(" ")]
+        rows.append((f"a{k}", "uden", text))
+    for k in range(200):
+        sentences = [" ".join(r.choice(words) for _ in range(r.randrange(3, 12))).capitalize() + "." for _ in range(4)]
+        rows.append((f"b{k}", "med", " ".join(sentences)))
+    return rows, cut
+
+
+def test_the_censoring_posterior_decides_at_limits(spark, monkeypatch):
+    import kildestrom.llm.truncation as m
+
+    rows, cut = _cut_at_blanks()
+    df = spark.createDataFrame(rows, "id string, source string, teaser string")
+    found = lambda: {r.key for r in m.judged(df, "id", "source", "teaser").filter("cut").collect()}
+    with_it = found()
+    assert len(with_it & cut) > 0.8 * len(cut) and not any(k.startswith("b") for k in with_it)
+    limits = m.length_limits
+    monkeypatch.setattr(m, "length_limits", lambda lengths: limits(lengths).filter("false"))
+    assert len(found() & cut) < 0.7 * len(with_it & cut)
+
+
+def test_endings_do_not_depend_on_partitions(spark):
+    import kildestrom.llm.truncation as m
+
+    rows, _ = _cut_at_blanks(12)
+    df = spark.createDataFrame(rows, "id string, source string, teaser string")
+    one, many = (m.learn_endings(df.repartition(n).select("teaser")) for n in (1, 16))
+    assert (one.ended == many.ended).all() and (one.seen == many.seen).all()
