@@ -1,8 +1,9 @@
 """Mixing sources to target shares by Sainte-Laguë apportionment of equal-token blocks.
 
 A mixture is as large as its scarcest source allows within its repeats. It is divided into blocks of equal tokens, which
-go to the sources by highest quotients, and each source's blocks to its shards likewise. In a shard, documents come in
-a seeded order, in whole passes and a last part of one, until the quota is met.
+go to the sources by highest quotients, and each source's blocks to its shards likewise. A shard's documents are laid
+out in a seeded order and divided into blocks; its quota is taken as whole passes over all blocks and the first blocks
+of one more. A document isn't divided: it belongs to the block that its middle lies in.
 """
 
 from __future__ import annotations
@@ -28,8 +29,28 @@ def sainte_lague(weights: list[float], seats: int, most: list[int] | None = None
     if total <= 0 or seats <= 0:
         return [0] * len(weights)
     most = most or [seats] * len(weights)
-    # whole parts less one are safe; quotients decide the rest
-    got = [max(0, min(m, int(seats * w / total) - 1)) for w, m in zip(weights, most, strict=True)]
+
+    def quotients(least: float) -> list[int]:
+        """How many quotients of each weight are at least as large."""
+        out = []
+        for w, m in zip(weights, most, strict=True):
+            k = min(m, int((w / least + 1) / 2) + 1) if w > 0 else 0
+            while k > 0 and w / (2 * k - 1) < least:
+                k -= 1
+            out.append(k)
+        return out
+
+    # the least quotient that wins, by bisection; what ties there is settled one by one
+    low, high = 0.0, 2 * max(weights)
+    for _ in range(200):
+        middle = (low + high) / 2
+        if middle in (low, high):
+            break
+        if sum(quotients(middle)) > seats:
+            low = middle
+        else:
+            high = middle
+    got = quotients(high)
     heap = [(-w / (2 * g + 1), k) for k, (w, g, m) in enumerate(zip(weights, got, most, strict=True)) if w > 0 and g < m]
     heapq.heapify(heap)
     for _ in range(seats - sum(got)):

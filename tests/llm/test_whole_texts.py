@@ -111,3 +111,27 @@ def test_endings_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(rows, "id string, source string, teaser string")
     one, many = (m.learn_endings(df.repartition(n).select("teaser")) for n in (1, 16))
     assert (one.ended == many.ended).all() and (one.seen == many.seen).all()
+
+
+def _highest_quotients(weights, seats, most):
+    from fractions import Fraction
+
+    quotients = sorted(((-Fraction(w) / (2 * k + 1), i) for i, w in enumerate(weights) for k in range(min(most[i], seats))))
+    out = [0] * len(weights)
+    for _, i in quotients[:seats]:
+        out[i] += 1
+    return out
+
+
+def test_sainte_lague_equals_highest_quotients():
+    from kildestrom.llm.mixing import sainte_lague
+
+    assert sainte_lague([949.0] + [0.51] * 100, 1000)[0] == 930
+    r = random.Random(3)
+    for _ in range(200):
+        n = r.randrange(1, 60)
+        weights = [r.choice([0.0, r.random(), r.random() * 1000, 1.0, 3.0]) for _ in range(n)]
+        seats = r.randrange(0, 300)
+        most = [r.randrange(0, 200) for _ in range(n)]
+        if sum(weights) > 0:
+            assert sainte_lague(weights, seats, most) == _highest_quotients(weights, seats, [m if w > 0 else 0 for w, m in zip(weights, most)])
