@@ -1,9 +1,10 @@
 """Text statistics per document, and documents that are lists, tables or junk rather than prose.
 
 A document is divided into segments of lines alike in holding function words. Each segment's distribution over
-function words and character classes is compared with profiles by Jensen-Shannon divergence: prose profiles are learned
-per language from all documents, structural profiles are given. A segment takes the kind of its nearest profile, and a
-document the kind that holds most of its characters.
+function words and character classes is compared with profiles by Jensen-Shannon divergence, which alone decides: a
+segment takes the kind of its nearest profile, and a document the kind that holds most of its characters. Prose
+profiles are learned per language and structural profiles per kind from all documents, as means of the segments that
+are nearest to them; they start from segments with function words and from given shares.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from kildestrom.session import collect_small, cut
 
 KINDS = ["prose", "list", "table", "junk"]
 CLASSES = ["function words", "letters", "odd letters", "digits", "blanks", "sentence signs", "cell marks", "symbols", "line ends", "repeated lines", "aligned rows"]
-# Structural profiles over the CLASSES but the last, as shares, and the share of aligned rows; a kind may have several.
+# Where structural profiles start: shares of the CLASSES but the last, and the share of aligned rows; a kind may have several.
 PROFILES = [
     ("list", 0.0, [0.005, 0.80, 0.04, 0.005, 0.04, 0.02, 0.004, 0.03, 0.06, 0.0]),
     ("list", 0.0, [0.005, 0.82, 0.04, 0.005, 0.06, 0.01, 0.0, 0.01, 0.06, 0.0]),
@@ -238,6 +239,32 @@ def prose_profiles(measured: DataFrame) -> dict[str, np.ndarray]:
     return {r["lang"]: np.array(r[2:]) / r[1] for r in collect_small(flat.filter("c0 > 0").orderBy(F.desc("c0")), MOST_LANGUAGES, "languages")}
 
 
+#: Characters that a profile's start weighs when it is learned, and how often it is.
+START_WEIGHT, ROUNDS = 20_000.0, 2
+
+
+def learned_profiles(measured: DataFrame, start: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Profiles as means of the segments nearest to them, over all documents; sums of fixed size reach the driver."""
+    profiles = start
+    for _ in range(rounds):
+
+        def sums(batches: Iterator[pa.RecordBatch], profiles: np.ndarray = profiles) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(profiles), len(CLASSES) + 1))
+            for b in batches:
+                _, size, dist, _ = _flat(b)
+                if len(size):
+                    nearest = jensen_shannon(dist, profiles).argmin(axis=1)
+                    np.add.at(total, nearest, np.c_[size, size[:, None] * dist])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype="int32")), pa.array(total.tolist(), pa.list_(pa.float64()))], ["k", "total"])
+
+        parts = measured.select("sort", "size", "dist").mapInArrow(sums, "k int, total array<double>")
+        flat = parts.groupBy("k").agg(*[F.sum(F.col("total")[c]).alias(f"c{c}") for c in range(len(CLASSES) + 1)])
+        profiles = profiles.copy()
+        for r in flat.collect():  # a row a profile
+            profiles[r.k] = (np.array(r[2:]) + START_WEIGHT * start[r.k]) / (r[1] + START_WEIGHT)
+    return profiles
+
+
 def structural_kinds(df: DataFrame, key: str, text: str, lang: str, common: frozenset[str]) -> DataFrame:
     """Rows (key, kind, prose, list, table, junk): the kind of every document and its shares of characters by kind.
 
@@ -250,16 +277,14 @@ def structural_kinds(df: DataFrame, key: str, text: str, lang: str, common: froz
     measured = cut(df.select(key, text, lang).mapInArrow(_measured(key, text, lang, common, rare), columns), "segments")
     prose = prose_profiles(measured)
     table = [*((("prose", v) for v in prose.values())), *((k, np.r_[np.array(v) / sum(v) * (1 - x), x]) for k, x, v in PROFILES)]
-    profiles, kind_of = np.array([v for _, v in table]), np.array([KINDS.index(k) for k, _ in table])
+    profiles, kind_of = learned_profiles(measured, np.array([v for _, v in table])), np.array([KINDS.index(k) for k, _ in table])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, size, dist, sort = _flat(b)
+            doc, size, dist, _ = _flat(b)
             total = np.zeros((b.num_rows, len(KINDS)))
             if len(doc):
-                far = jensen_shannon(dist, profiles)
-                far[np.ix_(sort == 1, np.isin(kind_of, [1, 2]))] = np.inf  # lines with function words are no entries or cells
-                np.add.at(total, (doc, kind_of[far.argmin(axis=1)]), size)
+                np.add.at(total, (doc, kind_of[jensen_shannon(dist, profiles).argmin(axis=1)]), size)
             share = total / np.maximum(total.sum(axis=1, keepdims=True), 1)
             other = share[:, 1:].argmax(axis=1) + 1
             most = (share[:, 0] < 0.5) & (total.sum(axis=1) > 0)

@@ -92,15 +92,19 @@ QUERIES |= {"p6_found": p6_found, "p6_sources": p6_sources}
 MOST_WORDS = 10_000
 
 
-def _common_words(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The table of common words, a few hundred at most."""
-    return sorted(r.word for r in collect_small(table(spark, sf_dir, "common_word").select(F.lower("word").alias("word")).distinct(), MOST_WORDS, "common words"))
+def _common_words(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
+    """The table of common words per language, a few hundred at most."""
+    rows = table(spark, sf_dir, "common_word").select("lang", F.lower("word").alias("word")).filter("lang is not null and word is not null").distinct()
+    out: dict[str, list[str]] = {}
+    for r in sorted(collect_small(rows, MOST_WORDS, "common words")):
+        out.setdefault(r.lang, []).append(r.word)
+    return out
 
 
 def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its structural kind and its shares of characters by kind."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return structural_kinds(docs, "doc_id", "text", "lang", frozenset(_common_words(spark, sf_dir))).withColumnRenamed("key", "doc_id")
+    return structural_kinds(docs, "doc_id", "text", "lang", frozenset(w for words in _common_words(spark, sf_dir).values() for w in words)).withColumnRenamed("key", "doc_id")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,12 +113,26 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Basic text statistics of every document."""
-    common = F.array(*[F.lit(w) for w in _common_words(spark, sf_dir)])
+    """Basic text statistics of every document; common words are those of its own language."""
+    common = F.array().cast("array<string>")
+    for lang, words in _common_words(spark, sf_dir).items():
+        common = F.when(F.col("lang") == lang, F.array(*[F.lit(w) for w in words])).otherwise(common)
     return table(spark, sf_dir, "documents").select("doc_id", *text_statistics(F.col("text"), common))
 
 
 QUERIES |= {"p9_found": p9_found, "p9_kinds": p9_kinds, "p9_statistics": p9_statistics}
+ORACLE |= {
+    "p9_statistics": r"""with d as (select doc_id, lang, coalesce(text, '') as t from documents),
+        w as (select *, list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}]+'), lambda x: x <> '') as words, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') as lines from d),
+        c as (select lang, list(distinct lower(word)) as common from common_word group by 1)
+        select doc_id, cast(len(words) as bigint) as n_words,
+        round(case when len(words) > 0 then length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) / len(words) else 0 end, 6) as mean_word_length,
+        round(case when length(t) > 0 then length(regexp_replace(t, '[\p{L}\p{N}\s]', '', 'g')) / length(t) else 0 end, 6) as symbol_ratio,
+        cast(len(lines) as bigint) as n_lines,
+        round(case when len(lines) > 0 then len(list_filter(lines, lambda x: regexp_matches(x, '[.?!:;,»”]\s*$'))) / len(lines) else 0 end, 6) as stopped_lines,
+        round(case when len(words) > 0 then len(list_filter(words, lambda x: list_contains(coalesce(common, []), lower(x)))) / len(words) else 0 end, 6) as common_words
+        from w left join c using (lang)""",
+}
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:

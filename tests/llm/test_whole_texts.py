@@ -135,3 +135,16 @@ def test_sainte_lague_equals_highest_quotients():
         most = [r.randrange(0, 200) for _ in range(n)]
         if sum(weights) > 0:
             assert sainte_lague(weights, seats, most) == _highest_quotients(weights, seats, [m if w > 0 else 0 for w, m in zip(weights, most)])
+
+
+def test_a_heading_does_not_make_a_list_prose(spark):
+    from kildestrom.llm.quality import structural_kinds
+
+    common = frozenset(["og", "i", "på", "for", "der", "er", "en", "et", "at", "til", "med", "det", "vil", "har"])
+    r = random.Random(2)
+    things = [a + b for a in ("mini", "båd", "tæppe", "folie", "metal", "dør") for b in ("lager", "genbrug", "anlæg", "strøm", "depot", "ordning")]
+    prose = "Kommunen vil bygge en ny plads ved havnen, og det er der mange grunde til. "
+    rows = [(k, "da", "Borgere i byen beder om en ny plads til det\n" + " · ".join(r.sample(things, 20))) for k in range(30)]
+    rows += [(100 + k, "da", (prose * 6).strip()) for k in range(60)] + [(900, "da", None), (901, None, "")]
+    kinds = {x.key: x.kind for x in structural_kinds(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"), "doc_id", "text", "lang", common).collect()}
+    assert {kinds[k] for k in range(30)} == {"list"} and {v for k, v in kinds.items() if k >= 100} == {"prose"}
