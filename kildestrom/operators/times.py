@@ -1,8 +1,9 @@
 """Time texts of many forms and zones brought to one UTC instant.
 
-A text is reduced to a shape mask of character classes (9 a digit, a a run of letters). Each distinct mask is mapped
-to a parser once; the parser then converts all values of that mask as arrays. Local times go through zone transition
-tables, which are built on the driver from the JVM's rules under their version and shipped with the job.
+A text is reduced to a shape mask of character classes (9 a digit, a a letter), as long as the text. Each distinct mask
+is mapped to a parser once, which is where its parts lie; all values of that mask are then sliced and converted as
+arrays. Local times go through zone transition tables, which are built on the driver from the JVM's rules under their
+version and shipped with the job.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ MONTHS = {
     "december": 12, "dec": 12,
 }
 # Zone names that are read, in minutes east of Greenwich.
-ZONES = {"z": 0, "gmt": 0, "utc": 0, "ut": 0, "bst": 60, "cet": 60, "cest": 120, "eet": 120, "est": -300}
+ZONES = {"z": 0, "gmt": 0, "utc": 0, "bst": 60, "cet": 60, "cest": 120, "eet": 120, "est": -300}
 # Words that may stand around a date or time.
 FILLERS = {
     "mandag", "tirsdag", "onsdag", "torsdag", "fredag", "lørdag", "søndag", "man", "tir", "tirs", "ons", "tor", "tors", "fre", "lør", "søn",
@@ -47,7 +48,7 @@ FILLERS = {
     "den", "d", "the", "of", "kl", "klokken", "klockan", "at", "t", "w", "st", "nd", "rd", "th", "date",
 }
 
-# Forms of dates, times and zones over mask characters: 9 is a digit, a is a run of letters.
+# Forms of dates, times and zones over mask characters: 9 is a digit, a stands for a run of letters.
 _DAY_NAME = r"(?:(?P<F1>a)\.?,? )?(?:(?P<F2>a)\.? )?"
 _DATES = [
     r"(?P<Y>9999)-(?P<M>99?)-(?P<D>99?)",
@@ -71,27 +72,21 @@ _FORMS = [d + _TIME for d in _DATES] + [
 _EPOCH = r"(?:/?(?P<F1>a)\()?(?P<E>9{13}|9{10})(?:[-+]99:?99)?\)?/?"
 
 
-def _values(form: str) -> re.Pattern[str]:
-    """The form over values: mask characters become classes, group names stay."""
-    return re.compile(re.sub(r"9|(?<![?<\w])a(?!\w)", lambda m: "[0-9]" if m[0] == "9" else r"[^\W\d_]+", form))
-
-
-_PARSERS = [(re.compile(f), _values(f)) for f in [_EPOCH, *_FORMS]]
+_PARSERS = [re.compile(re.sub(r"(?<![?<\w])a(?!\w)", "a+", f)) for f in [_EPOCH, *_FORMS]]
 
 
 @functools.lru_cache(maxsize=100_000)
-def parser_of(mask: str) -> re.Pattern[str] | None:
-    """The value pattern for a mask, or None if texts of this shape denote nothing."""
-    for over_mask, over_values in _PARSERS:
-        if over_mask.fullmatch(mask):
-            return over_values
+def parser_of(mask: str) -> dict[str, tuple[int, int]] | None:
+    """Where the parts of a text of this shape lie, or None if such texts denote nothing."""
+    for form in _PARSERS:
+        if m := form.fullmatch(mask):
+            return {name: m.span(name) for name, found in m.groupdict().items() if found is not None}
     return None
 
 
 def shape_mask(text: Column) -> Column:
-    """Mask of a trimmed text: digits become 9, letter runs a, white space one blank."""
-    one = F.regexp_replace(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), r"\p{L}+", "a")
-    return F.regexp_replace(one, "[0-9]", "9")
+    """Mask of a folded text: digits become 9, letters a, everything else stays."""
+    return F.regexp_replace(F.regexp_replace(text, r"\p{L}", "a"), "[0-9]", "9")
 
 
 def _new_year(year: np.ndarray) -> np.ndarray:
@@ -148,105 +143,111 @@ def zone_tables(spark: SparkSession, names: list[str]) -> dict[str, ZoneTable]:
     return out
 
 
-def _number(found: pd.DataFrame, name: str, default: int = 0) -> np.ndarray:
-    if name not in found:
-        return np.full(len(found), default, "int64")
-    return pd.to_numeric(found[name], errors="coerce").fillna(default).to_numpy().astype("int64")
+_FILL = dict.fromkeys(FILLERS, 0)
+_AMPM = {"am": 0, "pm": 1, "a.m": 0, "p.m": 1, "a.m.": 0, "p.m.": 1}
+_BAD = -(10**9)
+_NOTHING = np.iinfo("int64").min
 
 
-def _words(found: pd.DataFrame, name: str, known: dict[str, int], missing: int, unknown: int) -> np.ndarray:
-    """Codes of the words of a group: `missing` where there is none, `unknown` for others."""
-    if name not in found:
-        return np.full(len(found), missing, "int64")
-    words = found[name]
-    codes = {w: known.get(str(w).lower(), unknown) for w in words.dropna().unique()}
-    return words.map(codes).fillna(missing).to_numpy().astype("int64")
+class _Shape:
+    """Texts of one mask as a matrix of characters, with the places of their parts."""
 
+    def __init__(self, texts: list[str], parts: dict[str, tuple[int, int]]) -> None:
+        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(texts), -1)
+        self.parts = parts
 
-_FILL = dict.fromkeys(FILLERS, 0)
-_AMPM = {"am": 0, "pm": 1, "a.m": 0, "p.m": 1, "a.m.": 0, "p.m.": 1}
-_BAD = -(10**9)
+    def __contains__(self, name: str) -> bool:
+        return name in self.parts
+
+    def number(self, name: str) -> np.ndarray:
+        """Values of a part that is all digits; 0 where the shape has none."""
+        if name not in self.parts:
+            return np.zeros(len(self.codes), "int64")
+        low, high = self.parts[name]
+        return (self.codes[:, low:high].astype("int64") - 48) @ 10 ** np.arange(high - low - 1, -1, -1, dtype="int64")
 
+    def words(self, name: str, known: dict[str, int], missing: int, unknown: int) -> np.ndarray:
+        """Codes of the words of a part: `missing` where the shape has none, `unknown` for others."""
+        if name not in self.parts:
+            return np.full(len(self.codes), missing, "int64")
+        low, high = self.parts[name]
+        each, at = np.unique(np.ascontiguousarray(self.codes[:, low:high]).view(f"<U{high - low}").ravel(), return_inverse=True)
+        return np.array([known.get(str(w).lower(), unknown) for w in each], "int64")[at]
 
-def _convert(texts: pd.Series, zones: pd.Series, pattern: re.Pattern[str], tables: dict[str, ZoneTable]) -> np.ndarray:
-    """UTC microseconds of texts of one mask, NaT's integer where they denote nothing."""
-    nothing = np.iinfo("int64").min
-    found = texts.str.extract(pattern, expand=True)
+
+def _convert(texts: list[str], zones: np.ndarray, parts: dict[str, tuple[int, int]], tables: dict[str, ZoneTable]) -> np.ndarray:
+    """UTC microseconds of texts of one mask, the least integer where they denote nothing."""
+    found = _Shape(texts, parts)
     ok = np.ones(len(texts), bool)
     for f in ("F1", "F2", "F3", "F4", "F5"):
-        ok &= _words(found, f, _FILL, 0, _BAD) != _BAD
+        ok &= found.words(f, _FILL, 0, _BAD) != _BAD
     low = np.int64((FIRST_YEAR - 1970) * 365 + 7) * 86_400_000_000
     if "E" in found:
-        digits = found["E"].str.len().to_numpy()
-        us = _number(found, "E") * np.where(digits == 13, 1000, 1_000_000)
-        return np.where(ok & (us >= low), us, nothing)
-    year = _number(found, "Y")
+        digits = parts["E"][1] - parts["E"][0]
+        us = found.number("E") * (1000 if digits == 13 else 1_000_000)
+        return np.where(ok & (us >= low), us, _NOTHING)
+    year = found.number("Y")
     if "K" in found:
-        ok &= found["W"].str.lower().eq("w").to_numpy()
+        ok &= found.words("W", {"w": 0}, 0, _BAD) != _BAD
         jan4 = (year - 1970).astype("datetime64[Y]").astype("datetime64[D]") + 3
         monday = jan4 - (jan4.astype("int64") + 3) % 7
-        week, weekday = _number(found, "K"), _number(found, "N")
+        week, weekday = found.number("K"), found.number("N")
         days = monday + (week - 1) * 7 + (weekday - 1)
         thursday = monday + (week - 1) * 7 + 3
         ok &= (week >= 1) & (weekday >= 1) & (weekday <= 7) & (thursday.astype("datetime64[Y]").astype("int64") + 1970 == year)
     else:
-        month = _words(found, "B", MONTHS, 0, 0) if "B" in found else _number(found, "M")
-        day = _number(found, "D")
+        month = found.words("B", MONTHS, 0, 0) if "B" in found else found.number("M")
+        day = found.number("D")
         ok &= (month >= 1) & (month <= 12) & (day >= 1) & (day <= 31)
         months = ((year - 1970) * 12 + np.where(ok, month, 1) - 1).astype("datetime64[M]")
         days = months.astype("datetime64[D]") + (np.where(ok, day, 1) - 1)
         ok &= days.astype("datetime64[M]") == months
     ok &= year >= FIRST_YEAR
-    hour, minute, second = _number(found, "H"), _number(found, "I"), _number(found, "C")
-    half = _words(found, "A", _AMPM, -1, _BAD)
-    zone = _words(found, "Z", ZONES, -9999, _BAD)
-    if "A" in found and "Z" in found:  # one word after the clock may be either
-        word = found["A"].fillna("").str.lower()
-        as_zone = (half == _BAD) & found["Z"].isna().to_numpy() & word.isin(ZONES).to_numpy()
-        zone = np.where(as_zone, word.map(ZONES).fillna(0).to_numpy().astype("int64"), zone)
-        half = np.where(as_zone, -1, half)
-        z = found["Z"].fillna("").str.lower()
-        as_half = (zone == _BAD) & (half == -1) & z.isin(_AMPM).to_numpy()
-        half = np.where(as_half, z.map(_AMPM).fillna(0).to_numpy().astype("int64"), half)
-        zone = np.where(as_half, -9999, zone)
+    hour, minute, second = found.number("H"), found.number("I"), found.number("C")
+    half = found.words("A", _AMPM, -1, _BAD)
+    zone = found.words("Z", ZONES, -9999, _BAD)
+    if "A" in found and "Z" not in found:  # one word after the clock may be either
+        as_zone = found.words("A", ZONES, -9999, _BAD)
+        there = (half == _BAD) & (as_zone != _BAD)
+        zone, half = np.where(there, as_zone, zone), np.where(there, -1, half)
+    if "Z" in found and "A" not in found:
+        as_half = found.words("Z", _AMPM, -1, _BAD)
+        there = (zone == _BAD) & (as_half != _BAD)
+        half, zone = np.where(there, as_half, half), np.where(there, -9999, zone)
     ok &= (half != _BAD) & (zone != _BAD) & (minute < 60) & (second < 60)
     ok &= np.where(half >= 0, (hour >= 1) & (hour <= 12), hour < 24)
     hour = np.where(half >= 0, hour % 12 + 12 * (half == 1), hour)
-    if "X" in found:
-        micro = pd.to_numeric((found["X"].fillna("") + "000000").str[:6]).to_numpy().astype("int64")
-    else:
-        micro = np.zeros(len(texts), "int64")
+    micro = found.number("X") * 10 ** (6 - (parts["X"][1] - parts["X"][0])) if "X" in found else np.zeros(len(texts), "int64")
     local = days.astype("int64") * 86_400_000_000 + (hour * 3600 + minute * 60 + second) * 1_000_000 + micro
-    signed = found["S"].notna().to_numpy() if "S" in found else np.zeros(len(texts), bool)
-    east = (_number(found, "O") * 60 + _number(found, "P")) * np.where(signed & (found["S"] != "+").to_numpy() if "S" in found else False, -1, 1)
-    ok &= (np.abs(east) < 24 * 60) & (_number(found, "P") < 60)
-    fixed = signed | (zone != -9999)
+    signed = "S" in found
+    west = found.codes[:, parts["S"][0]] != ord("+") if signed else False
+    east = (found.number("O") * 60 + found.number("P")) * np.where(west, -1, 1)
+    ok &= (np.abs(east) < 24 * 60) & (found.number("P") < 60)
+    fixed = np.full(len(texts), signed) | (zone != -9999)
     offset = np.where(signed, east, zone) * 60_000_000
-    names = zones.fillna(DEFAULT_ZONE)
-    for name in names.unique():
-        here = ~fixed & (names == name).to_numpy()
-        if here.any():
-            if name in tables:
-                offset[here] = tables[name].offset_us(local[here])
-            else:
-                ok &= ~here
-    return np.where(ok, local - offset, nothing)
+    for name in np.unique(zones[~fixed]).tolist():
+        here = ~fixed & (zones == name)
+        if name in tables:
+            offset[here] = tables[name].offset_us(local[here])
+        else:
+            ok &= ~here
+    return np.where(ok, local - offset, _NOTHING)
 
 
 def _to_utc(tables: dict[str, ZoneTable]):
     @F.pandas_udf("bigint")
     def convert(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for text, mask, zone in batches:
-            out = np.full(len(text), np.iinfo("int64").min)
-            text = text.str.replace(r"\s+", " ", regex=True).str.strip()
+            out = np.full(len(text), _NOTHING)
+            texts, zones = text.tolist(), zone.fillna(DEFAULT_ZONE).to_numpy().astype("U")
             codes, masks = pd.factorize(mask)
             order = np.argsort(codes, kind="stable")
             bounds = np.searchsorted(codes[order], np.arange(len(masks) + 1))
             for k, m in enumerate(masks):
-                if (pattern := parser_of(m)) is not None:
+                if (parts := parser_of(m)) is not None:
                     rows = order[bounds[k] : bounds[k + 1]]
-                    out[rows] = _convert(text.iloc[rows].reset_index(drop=True), zone.iloc[rows].reset_index(drop=True), pattern, tables)
-            yield pd.Series(out, dtype="Int64").mask(out == np.iinfo("int64").min)
+                    out[rows] = _convert([texts[r] for r in rows.tolist()], zones[rows], parts, tables)
+            yield pd.Series(out, dtype="Int64").mask(out == _NOTHING)
 
     return convert
 

@@ -73,3 +73,11 @@ def test_unknown_zone_and_masks(spark):
     df = spark.createDataFrame([("2026-01-01", "Nowhere/Land"), ("2026-01-01T00:00:00Z", "Nowhere/Land")], "t string, z string")
     assert [r.us for r in df.select(to_utc(F.col("t"), F.col("z")).alias("us")).collect()] == [None, 1767225600000000]
     assert parser_of("9999-99-99") is parser_of("9999-99-99") and parser_of("9" * 70) is None
+
+
+def test_other_zone_names_and_padding(spark):
+    rows = [("2024-03-01 10:00 UT", None), ("2024-03-01 10:00 GMT", 1709287200_000_000), ("  2024-03-01\t10:00 " + " " * 300 + "GMT ", 1709287200_000_000), ("2024-03-01 10:00 pm", 1709330400_000_000), ("2024-03-01 10:00 \U0001d7d9", None)]
+    to_utc = utc_micros(spark, ["UTC"])
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "k int, t string")
+    got = {r.k: r.us for r in df.select("k", to_utc(F.col("t"), F.lit("UTC")).alias("us")).collect()}
+    assert [got[k] for k in range(len(rows))] == [w for _, w in rows]
