@@ -54,6 +54,12 @@ class FacetQuery:
         keys = set(self.include.get(facet, ()))
         return replace(self, include=self.include | {facet: tuple(sorted(keys ^ {key}))})
 
+    def pick_place(self, place: str, facet: str = "place") -> FacetQuery:
+        """With a place added; the first one of a finer kind replaces whole regions."""
+        have = set(self.include.get(facet, ()))
+        kept = have if not have or place.startswith("r:") or not all(p.startswith("r:") for p in have) else set()
+        return replace(self, include=self.include | {facet: tuple(sorted(kept | {place}))})
+
     def shortest(self, facet: str, universe: set[str]) -> FacetQuery:
         """The same selection as included or excluded keys, whichever list is shorter."""
         shown = (set(self.include.get(facet) or universe) - set(self.exclude.get(facet, ()))) & universe
@@ -87,25 +93,38 @@ def search(text: Column, wanted: str) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def matching(df: DataFrame, query: FacetQuery, facets: dict[str, Column], day: Column, text: Column, skip: tuple[str, ...] = ()) -> DataFrame:
-    """Rows that pass the day range, the search and every facet but those skipped."""
-    tests = [facet_predicate(facet_keys(c), query, f) for f, c in facets.items() if f not in skip]
+def _tests(query: FacetQuery, facets: dict[str, Column], day: Column, text: Column) -> dict[str, Column]:
+    """A test for every facet, and one for day range and search under ''."""
+    rest = []
     if query.since:
-        tests.append(day >= F.lit(query.since).cast("date"))
+        rest.append(day >= F.lit(query.since).cast("date"))
     if query.until:
-        tests.append(day <= F.lit(query.until).cast("date"))
+        rest.append(day <= F.lit(query.until).cast("date"))
     if query.words:
-        tests.append(search(text, query.words))
-    return df.filter(reduce(lambda a, b: a & b, tests, F.lit(True)))
+        rest.append(search(text, query.words))
+    return {f: facet_predicate(facet_keys(c), query, f) for f, c in facets.items()} | {"": reduce(lambda a, b: a & b, rest, F.lit(True))}
+
+
+def predicate(query: FacetQuery, facets: dict[str, Column], day: Column, text: Column, skip: tuple[str, ...] = ()) -> Column:
+    """Whether a row passes the day range, the search and every facet but those skipped."""
+    return reduce(lambda a, b: a & b, [t for f, t in _tests(query, facets, day, text).items() if f not in skip])
+
+
+def matching(df: DataFrame, query: FacetQuery, facets: dict[str, Column], day: Column, text: Column, skip: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that pass the day range, the search and every facet but those skipped."""
+    return df.filter(predicate(query, facets, day, text, skip))
 
 
 def facet_counts(df: DataFrame, query: FacetQuery, facets: dict[str, Column], day: Column, text: Column, unit: str) -> DataFrame:
-    """Rows (facet, key, n): distinct units of every key under all predicates but the facet's own."""
-    parts = []
-    for f, c in facets.items():
-        rows = matching(df, query, facets, day, text, skip=(f,)).select(F.explode(facet_keys(c)).alias("key"), F.col(unit).alias("unit"))
-        parts.append(rows.groupBy("key").agg(F.countDistinct("unit").alias("n")).select(F.lit(f).alias("facet"), "key", "n"))
-    return reduce(DataFrame.unionByName, parts)
+    """Rows (facet, key, n): distinct units of every key under all predicates but the facet's own.
+
+    One pass: a row counts for every facet if it passes all, for one if it fails only that one's own predicate.
+    """
+    tests = _tests(query, facets, day, text)
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(t, F.lit(False)), F.lit(f)) for f, t in tests.items()]))
+    keys = F.array(*[F.struct(F.lit(f).alias("facet"), facet_keys(c).alias("keys")) for f, c in facets.items()])
+    rows = df.select(F.col(unit).alias("unit"), failed.alias("failed"), F.explode(keys).alias("k")).filter((F.size("failed") == 0) | ((F.size("failed") == 1) & (F.col("failed")[0] == F.col("k.facet"))))
+    return rows.select("unit", F.col("k.facet").alias("facet"), F.explode("k.keys").alias("key")).groupBy("facet", "key").agg(F.countDistinct("unit").alias("n"))
 
 
 def day_histogram(df: DataFrame, day: Column, unit: str) -> DataFrame:

@@ -19,6 +19,19 @@ def sort_places(places: Column, most: int = MOST) -> Column:
     return F.slice(F.transform(keyed, lambda x: x["p"]), 1, most)
 
 
+def place_names(places: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Rows (id, name) of every spelling of places (id, name): plain and with the word of its kind, each also in the genitive.
+
+    `kinds` maps the start of an id to a form such as '{0} Kommune'. Names that end in s have no other genitive.
+    """
+    full = F.lit(None).cast("string")
+    for start, form in kinds.items():
+        before, after = form.split("{0}")
+        full = F.when(F.col("id").startswith(start), F.concat(F.lit(before), "name", F.lit(after))).otherwise(full)
+    both = places.select("id", F.explode(F.array_compact(F.array("name", full))).alias("name"))
+    return both.unionByName(both.filter(~F.col("name").endswith("s")).select("id", F.concat("name", F.lit("s")).alias("name")))
+
+
 def ancestors(places: DataFrame) -> DataFrame:
     """Rows (id, ancestor), each place among its own; places has id and parent, three levels deep."""
     own = places.select("id", F.col("id").alias("ancestor"))

@@ -315,7 +315,7 @@ def stream_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors in a row per user, kept as state of a stream."""
     rows = streams.stream_of(spark, sf_dir, "events.parquet").select("user_id", "event_id", (F.col("event_type") == "error").alias("failed"))
-    return streams.drain(streams.health_states(rows, "user_id", "event_id", "failed"), "states", "update")
+    return streams.drain(streams.health_states(rows, "user_id", "event_id", "failed"), "states", "update", ["user_id"])
 
 
 QUERIES = {

@@ -27,7 +27,7 @@ def write_months(df: DataFrame, path: str, at: Column) -> None:
 
 def read_months(spark: SparkSession, path: str, schema: T.StructType, since: str) -> DataFrame:
     """Rows of months from that of `since` (a day) on; earlier folders aren't read."""
-    return spark.read.schema(schema.add("month", T.StringType()) if "month" not in schema.names else schema).json(path).filter(F.col("month") >= since[:7])
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("month", T.StringType())]) if "month" not in schema.names else schema).json(path).filter(F.col("month") >= since[:7])
 
 
 def json_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

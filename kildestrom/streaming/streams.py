@@ -7,29 +7,42 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kildestrom.session import fresh_path
 
 
-def stream_of(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """A stream of parquet files with the schema of those that are there."""
+def stream_of(spark: SparkSession, path: str, glob: str | None = None, files: int | None = None) -> DataFrame:
+    """A stream of parquet files with the schema of those that are there, at most `files` in a micro-batch."""
     schema = spark.read.option("pathGlobFilter", glob or "*.parquet").parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob or "*.parquet").parquet(path)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob or "*.parquet")
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
-def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available, into a written table, and read it."""
+def drain(df: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is available, into a written table, and read it.
+
+    In update mode a later micro-batch's rows replace those of equal `keys` and leave the others; in complete mode the
+    last batch holds all.
+    """
     spark = df.sparkSession
     path, log = fresh_path(spark, name), fresh_path(spark, name + "-log")
     if mode == "append":
         df.writeStream.format("parquet").option("path", path).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
-    else:
-        def keep(batch: DataFrame, n: int) -> None:
-            batch.write.mode("overwrite").parquet(path)
-
-        df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/batch={n}")  # written again, a batch replaces itself
+
+    df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__batch", T.IntegerType())])).parquet(path)
+    if mode == "complete":
+        last = rows.agg(F.max("__batch").alias("n")).first().n
+        return rows.filter(F.col("__batch") == F.lit(last)).select(*df.columns)
+    if not keys:
+        raise ValueError("update mode needs the keys of its rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "__batch").alias("__row")).select("__row.*")
 
 
 def first_per_key(df: DataFrame, key: str, at: str, late: str = "14 days") -> DataFrame:
