@@ -66,18 +66,30 @@ def title_key(title: Column) -> Column:
     return F.array_join(words(title), " ")
 
 
+_TAIL = r"^([\s\S]*\S)\s+[|–—-]\s+(\S[\s\S]*)$"
+
+
+def name_tail(title: Column) -> Column:
+    """What stands behind the last ' | ', ' - ' or ' – ' of a title; empty if there is none."""
+    return F.regexp_extract(title, _TAIL, 2)
+
+
+def name_head(title: Column) -> Column:
+    """What stands before it."""
+    return F.regexp_extract(title, _TAIL, 1)
+
+
 def strip_name_tail(title: Column, names: Column) -> Column:
     """Without a last ' | X', ' - X' or ' – X' whose words are one of `names` (an array of title keys)."""
-    tail = r"^([\s\S]*\S)\s+[|–—-]\s+(\S[\s\S]*)$"
-    known = F.array_contains(names, title_key(F.regexp_extract(title, tail, 2))) & title.rlike(tail)
-    return F.when(known, F.regexp_extract(title, tail, 1)).otherwise(title)
+    known = F.array_contains(names, title_key(name_tail(title))) & (name_tail(title) != "")
+    return F.when(known, name_head(title)).otherwise(title)
 
 
 def strip_prefixes(title: Column, prefixes: list[str]) -> Column:
     """Without the first prefix that fits, if a word remains."""
     out = title
     for p in reversed(prefixes):
-        rest = F.trim(F.substring(title, len(p) + 1, 1_000_000))
+        rest = F.trim(F.substr(title, F.lit(len(p) + 1)))
         out = F.when(F.lower(title).startswith(p.lower()) & rest.rlike(r"[\p{L}\p{N}]"), rest).otherwise(out)
     return out
 

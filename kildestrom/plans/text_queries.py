@@ -66,11 +66,11 @@ def clean_teasers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stripped_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles without a source's name at the end and without leading labels."""
-    sources = table(spark, sf_dir, "feed_source").select(F.transform(F.concat(F.array("name"), F.coalesce("domains", F.array())), lambda n: text.title_key(n)).alias("names"))
-    names = sorted({n for r in sources.limit(10_000).collect() for n in r.names if n})  # a registry of bounded size
-    known = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    rows = table(spark, sf_dir, "raw_entry").select("ord", "title").distinct()
-    bare = text.strip_name_tail(F.trim("title"), known)
+    sources = table(spark, sf_dir, "feed_source").select(F.explode(F.concat(F.array("name"), F.coalesce("domains", F.array().cast("array<string>")))).alias("name"))
+    names = sources.select(text.title_key(F.col("name")).alias("tail_key")).filter("tail_key <> ''").distinct().withColumn("known", F.lit(True))
+    rows = table(spark, sf_dir, "raw_entry").select("ord", F.trim("title").alias("title")).distinct()
+    rows = rows.withColumn("tail_key", text.title_key(text.name_tail(F.col("title")))).join(small_side(names), "tail_key", "left")
+    bare = F.when(F.col("known"), text.name_head(F.col("title"))).otherwise(F.col("title"))
     return rows.select("ord", text.strip_prefixes(bare, ["Opdateret: ", "Updated: ", "Uppdaterat: "]).alias("title"))
 
 
@@ -165,17 +165,31 @@ _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}
 _GRAMS = "list_distinct(list_transform(range(1, greatest(len({0}) - {1} + 2, 1)), lambda k: array_to_string(list_slice({0}, k, k + {1} - 1), ' ')))"
 
 
+_TAIL = r"^([\s\S]*\S)\s+[|–—-]\s+(\S[\s\S]*)$"
+_BEHIND = f"regexp_extract(title, '{_TAIL}', 2)"
+
+
+# what the patterns mean, written out as regular expressions by hand
+_A, _Z, _R = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])", r"[\p{L}\p{N}_]*"
+_MEANT = {
+    "gebyr*": rf"(?i){_A}gebyr{_R}{_Z}", "genbrug*": rf"(?i){_A}genbrug{_R}{_Z}", "*fraktion*": rf"(?i){_R}fraktion{_R}", "udbud": rf"(?i){_A}udbud{_Z}", "affaldssortering*": rf"(?i){_A}affaldssortering{_R}{_Z}", "*container*": rf"(?i){_R}container{_R}",
+    "borgere": rf"(?i){_A}borgere{_Z}", "budget*": rf"(?i){_A}budget{_R}{_Z}", "*vand*": rf"(?i){_R}vand{_R}", "havne*": rf"(?i){_A}havne{_R}{_Z}", "under*": rf"(?i){_A}under{_R}{_Z}",
+    "*beholder*": rf"(?i){_R}beholder{_R}", "*pose*": rf"(?i){_R}pose{_R}", "*pris": rf"(?i){_R}pris{_Z}", "*afgift": rf"(?i){_R}afgift{_Z}", "*anlæg": rf"(?i){_R}anlæg{_Z}", "*ovn": rf"(?i){_R}ovn{_Z}", "*depot": rf"(?i){_R}depot{_Z}",
+    "*handleplan": rf"(?i){_R}handleplan{_Z}", "*strategi*": rf"(?i){_R}strategi{_R}", "*reform": rf"(?i){_R}reform{_Z}",
+}
+
+
 def _sql_hits(column: str, names: list[str]) -> str:
-    return "(" + " + ".join(f"(case when regexp_matches({column}, '{patterns.compile_pattern(p)}') then 1 else 0 end)" for p in names) + ")"
+    return "(" + " + ".join(f"(case when regexp_matches({column}, '{_MEANT[p]}') then 1 else 0 end)" for p in names) + ")"
 
 
 def _sql_list(column: str, names: list[str]) -> str:
-    return "list_filter([" + ", ".join(f"case when regexp_matches({column}, '{patterns.compile_pattern(p)}') then '{p}' end" for p in names) + "], lambda x: x is not null)"
+    return "list_filter([" + ", ".join(f"case when regexp_matches({column}, '{_MEANT[p]}') then '{p}' end" for p in names) + "], lambda x: x is not null)"
 
 
 def _sql_mask(column: str, names: list[str]) -> str:
     for p in names:
-        column = f"regexp_replace({column}, '{patterns.compile_pattern(p)}', ' ', 'g')"
+        column = f"regexp_replace({column}, '{_MEANT[p]}', ' ', 'g')"
     return column
 
 
@@ -194,7 +208,7 @@ ORACLE = {
     "unknown_hosts": f"""with d as (select unnest(domains) as host from feed_source where status = 'aktiv'), r as (select {_HOST} as host, ord from raw_entry)
         select host, count(distinct ord) as n, max(ord) as newest from r where host not in (select host from d) group by 1 order by n desc, host limit 50""",
     "title_keys": f"""with t as (select doc_id, split_part(text, chr(10), 1) as title from documents),
-        s as (select *, lower(substr(title, 1, 60)) as l from t)
+        s as (select *, lower(title) as l from t)
         select doc_id, array_to_string({_WORDS.format('title')}, ' ') as title_key,
         cast(case when trim(title) = '' then 0 else len(regexp_split_to_array(trim(title), '\\s+')) end as int) as n_words,
         regexp_replace(regexp_replace(translate(replace(replace(replace(replace(l, 'å', 'aa'), 'ø', 'oe'), 'æ', 'ae'), 'ß', 'ss'), 'äöüéèàâêëïîôûçñ', 'aoueeaaeeiioucn'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as slug from s""".replace("\\\\", "\\"),
@@ -215,6 +229,17 @@ ORACLE = {
         select seq, cast(len(ga) as int) as n_grams, len(list_intersect(ra, rb)) > 0 or (len(ga) >= 4 and len(list_intersect(ga, gb)) > 0.5 * len(ga)) as copied from g""",
     "rss_round_trip": f"with {_FIRST} select id, title, url as link, 'a' as categories from c",
     "page_round_trip": f"with {_FIRST} select id, trim(regexp_replace(title, '[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}]+', ' ', 'g')) as title, strftime(timezone('UTC', first_seen), '%Y-%m-%d') as published from c",
-    "sitemap_newest": f"""with {_FIRST}, r as (select source, url as loc, strftime(timezone('UTC', first_seen), '%Y-%m-%d %H:%M:%S') as lastmod from c where url not like '%&%' and url not like '%<%')
+    "sitemap_newest": f"""with {_FIRST}, r as (select source, url as loc, strftime(timezone('UTC', first_seen), '%Y-%m-%d %H:%M:%S') as lastmod from c)
         select source, cast(rank as int) as rank, loc, lastmod from (select *, row_number() over (partition by source order by lastmod desc, loc) as rank from r) where rank <= 3""",
+    "stripped_titles": rf"""with n as (select distinct array_to_string({_WORDS.format('name')}, ' ') as k from (select name from feed_source union select unnest(domains) from feed_source)), r as (select distinct ord, trim(title) as title from raw_entry),
+        t as (select *, array_to_string({_WORDS.format(_BEHIND)}, ' ') as k from r),
+        b as (select ord, case when k <> '' and k in (select k from n) then regexp_extract(title, '{_TAIL}', 1) else title end as title from t),
+        p as (select *, case when lower(title) like 'opdateret: %' then 12 when lower(title) like 'updated: %' then 10 when lower(title) like 'uppdaterat: %' then 13 end as start from b)
+        select ord, case when start is not null and regexp_matches(substr(title, start), '[\p{{L}}\p{{N}}]') then trim(substr(title, start)) else title end as title from p""",
+    "folded_names": r"""select id, strip_accents(replace(replace(replace(replace(lower(name), 'å', 'aa'), 'ø', 'oe'), 'æ', 'ae'), 'ß', 'ss')) as long, strip_accents(replace(replace(replace(replace(lower(name), 'å', 'a'), 'ø', 'o'), 'æ', 'ae'), 'ß', 'ss')) as short,
+        case when regexp_extract(name, '\(([\p{Lu}\p{N}]{2,6})\)', 1) <> '' then regexp_extract(name, '\(([\p{Lu}\p{N}]{2,6})\)', 1) else trim(regexp_replace(name, '\s*\([^)]*\)', '', 'g')) end as label from feed_source""",
+    "longest_runs": rf"""with {_FIRST}, s as (select distinct j.seq, {_WORDS.format('j.summary_da')} as a, {_WORDS.format('c.teaser')} as b from judgment j join c using (id) where summary_da is not null),
+        x as (select seq, a, b, unnest(range(1, len(a) + 1)) as i from s), y as (select seq, i, b, a, unnest(range(1, len(b) + 1)) as k from x), m as (select seq, i, k, i - k as d from y where a[i] = b[k]),
+        g as (select *, i - row_number() over (partition by seq, d order by i) as island from m), l as (select seq, count(*) as n from g group by seq, d, island)
+        select s.seq, cast(coalesce(max(l.n), 0) as int) as run from s left join l using (seq) group by s.seq""",
 }

@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or a temporary one where none is set (tests)."""
+    """The folder all executors share: `spark.checkpoint.dir`, or a temporary one in local mode where none is set (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
@@ -47,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
         if had.isDefined():
             named = had.get()
         else:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             named = "file://" + tempfile.mkdtemp(prefix="kildestrom-")
             sc.setCheckpointDir(named)
     return named.rstrip("/")

@@ -19,30 +19,58 @@ from pyspark.sql import types as T
 #: Bytes that one document may unpack to.
 MOST_BYTES = 50_000_000
 _ENTRY = T.StructType([T.StructField(n, T.StringType()) for n in ("link", "title", "teaser", "published")] + [T.StructField("categories", T.ArrayType(T.StringType()))])
-_FEED = T.StructType([T.StructField("is_feed", T.BooleanType()), T.StructField("entries", T.ArrayType(_ENTRY))])
+_FEED = T.StructType([T.StructField("is_feed", T.BooleanType()), T.StructField("entries", T.ArrayType(_ENTRY)), T.StructField("problem", T.StringType())])
 _PLACE = T.StructType([T.StructField(n, T.StringType()) for n in ("loc", "lastmod", "title", "published")])
-_MAP = T.StructType([T.StructField("kind", T.StringType()), T.StructField("places", T.ArrayType(_PLACE))])
+_MAP = T.StructType([T.StructField("kind", T.StringType()), T.StructField("places", T.ArrayType(_PLACE)), T.StructField("problem", T.StringType())])
+
+
+class Refused(ValueError):
+    """A document that isn't parsed: too large, broken, or declaring a document type."""
 
 
 def unpack(data: bytes, most: int = MOST_BYTES) -> bytes:
-    """Plain bytes of gzipped ones, cut off at `most` while unpacking."""
-    if data[:2] != b"\x1f\x8b":
-        return data[:most]
-    machine = zlib.decompressobj(16 + zlib.MAX_WBITS)
+    """Plain bytes of gzipped ones; a document of more than `most` bytes is refused while it is unpacked."""
+    if data[:2] == b"\x1f\x8b":
+        machine = zlib.decompressobj(16 + zlib.MAX_WBITS)
+        try:
+            data = machine.decompress(data, most + 1)
+        except zlib.error as e:
+            raise Refused("broken") from e
+    if len(data) > most:
+        raise Refused("too large")
+    return data
+
+
+class _Root(Exception):
+    pass
+
+
+def _has_doctype(data: bytes) -> bool:
+    """Whether a document type is declared before the root element, however far into the document that is."""
+    parser = expat.ParserCreate()
+
+    def stop(kind: bool):
+        def handler(*args: object) -> None:
+            raise _Root(kind)
+
+        return handler
+
+    parser.StartDoctypeDeclHandler, parser.StartElementHandler = stop(True), stop(False)
     try:
-        return machine.decompress(data, most)
-    except zlib.error:
-        return b""
+        parser.Parse(data, True)
+    except _Root as e:
+        return e.args[0]
+    return False
 
 
-def parse_xml(data: bytes) -> ElementTree.Element | None:
-    """The root, or None for malformed documents and those that declare a document type."""
-    if re.search(rb"<!(?:DOCTYPE|ENTITY)", data[:4096], re.I):
-        return None
+def parse_xml(data: bytes) -> ElementTree.Element:
+    """The root; malformed documents and those that declare a document type are refused."""
     try:
+        if _has_doctype(data):
+            raise Refused("document type")
         return ElementTree.fromstring(data)
-    except (ElementTree.ParseError, expat.ExpatError, ValueError, LookupError):
-        return None
+    except (ElementTree.ParseError, expat.ExpatError, LookupError) as e:
+        raise Refused("malformed") from e
 
 
 def _name(e: ElementTree.Element) -> str:
@@ -69,17 +97,20 @@ def _link(e: ElementTree.Element) -> str | None:
     return own if own and own.startswith("http") else None
 
 
-def read_feed(data: bytes) -> tuple[bool, list[tuple]]:
-    """Whether the document is a feed, and its entries (link, title, teaser, published, categories)."""
-    root = parse_xml(unpack(data))
-    if root is None or _name(root) not in ("rss", "feed", "rdf"):
-        return False, []
+def read_feed(data: bytes) -> tuple[bool, list[tuple], str | None]:
+    """Whether the document is a feed, its entries (link, title, teaser, published, categories), and why it was refused."""
+    try:
+        root = parse_xml(unpack(data))
+    except Refused as e:
+        return False, [], str(e)
+    if _name(root) not in ("rss", "feed", "rdf"):
+        return False, [], "no feed"
     out = []
     for e in root.iter():
         if _name(e) in ("item", "entry"):
             terms = [(c.get("term") or c.text or "").strip()[:80] for c in e if _name(c) == "category"]
             out.append((_link(e), _text(e, "title"), _text(e, "description", "summary", "encoded", "content"), _text(e, "pubdate", "published", "date", "updated", "created"), list(dict.fromkeys(t for t in terms if t))[:10]))
-    return True, out
+    return True, out, None
 
 
 def _bytes(x: object) -> bytes:
@@ -88,29 +119,32 @@ def _bytes(x: object) -> bytes:
 
 @F.pandas_udf(_FEED)
 def feed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """struct<is_feed, entries> of feed documents, as text or bytes."""
+    """struct<is_feed, entries, problem> of feed documents, as text or bytes."""
     for s in batches:
-        yield pd.DataFrame([read_feed(_bytes(x)) for x in s], columns=["is_feed", "entries"])
+        yield pd.DataFrame([read_feed(_bytes(x)) for x in s], columns=["is_feed", "entries", "problem"])
 
 
-def read_sitemap(data: bytes) -> tuple[str | None, list[tuple]]:
-    """urlset or index, with (loc, lastmod, title, published) of its places."""
-    root = parse_xml(unpack(data))
-    kind = {"urlset": "urlset", "sitemapindex": "index"}.get(_name(root)) if root is not None else None
+def read_sitemap(data: bytes) -> tuple[str | None, list[tuple], str | None]:
+    """urlset or index, with (loc, lastmod, title, published) of its places, and why it was refused."""
+    try:
+        root = parse_xml(unpack(data))
+    except Refused as e:
+        return None, [], str(e)
+    kind = {"urlset": "urlset", "sitemapindex": "index"}.get(_name(root))
     if kind is None:
-        return None, []
+        return None, [], "no sitemap"
     out = []
     for e in root:
         news = next((c for c in e if _name(c) == "news"), e)
         out.append((_text(e, "loc"), _text(e, "lastmod"), _text(news, "title"), _text(news, "publication_date")))
-    return kind, [x for x in out if x[0]]
+    return kind, [x for x in out if x[0]], None
 
 
 @F.pandas_udf(_MAP)
 def sitemap(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """struct<kind, places> of sitemap documents; kind is null for anything else."""
+    """struct<kind, places, problem> of sitemap documents; kind is null for anything else."""
     for s in batches:
-        yield pd.DataFrame([read_sitemap(_bytes(x)) for x in s], columns=["kind", "places"])
+        yield pd.DataFrame([read_sitemap(_bytes(x)) for x in s], columns=["kind", "places", "problem"])
 
 
 def newest_maps(places: DataFrame, document: str, n: int) -> DataFrame:

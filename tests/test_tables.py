@@ -1,3 +1,4 @@
+import pytest
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -62,12 +63,16 @@ ATOM = "<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>Å</title><link
 
 
 def test_feeds(spark):
-    assert feeds.read_feed(RSS) == (True, [("https://a.example/1", "A & B", "t", "Mon, 02 Feb 2026 10:00:00 GMT", ["x"])])
+    assert feeds.read_feed(RSS) == (True, [("https://a.example/1", "A & B", "t", "Mon, 02 Feb 2026 10:00:00 GMT", ["x"])], None)
     assert feeds.read_feed(feeds.gzipped(ATOM))[1][0][:2] == ("https://a.example/2", "Å")
     for bad in (b"<html></html>", b"", b"<rss", b"<!DOCTYPE x [<!ENTITY a 'b'>]><rss><channel/></rss>"):
-        assert feeds.read_feed(bad) == (False, [])
-    assert len(feeds.unpack(feeds.gzipped(b"0" * 3_000_000), 1000)) <= 1000
-    assert feeds.read_sitemap(b"<urlset><url><loc>https://a.example/</loc><lastmod>2026</lastmod></url></urlset>") == ("urlset", [("https://a.example/", "2026", None, None)])
+        assert feeds.read_feed(bad)[:2] == (False, []) and feeds.read_feed(bad)[2]
+    with pytest.raises(feeds.Refused, match="too large"):
+        feeds.unpack(feeds.gzipped(b"0" * 3_000_000), 1000)
+    padded = b"<?xml version='1.0'?><!--" + b"<a>" * 5000 + b"--><!DOCTYPE rss [<!ENTITY x 'y'>]><rss><channel><item><title>&x;</title></item></channel></rss>"
+    assert feeds.read_feed(padded) == (False, [], "document type")
+    assert feeds.read_feed(b"<rss><channel><item><title><![CDATA[<!DOCTYPE html>]]></title></item></channel></rss>")[0]
+    assert feeds.read_sitemap(b"<urlset><url><loc>https://a.example/</loc><lastmod>2026</lastmod></url></urlset>") == ("urlset", [("https://a.example/", "2026", None, None)], None)
     import base64
 
     url = b"https://a.example/langt/navn"
