@@ -7,6 +7,7 @@ Viterbi's algorithm finds the path with the best script-consistent character big
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -188,8 +189,58 @@ def canonical(text: Column, model: np.ndarray | None = None) -> Column:
     return F.struct(F.coalesce(seen["text"], text).alias("text"), F.coalesce(seen["found"], F.lit(False)).alias("found"))
 
 
+@functools.lru_cache(maxsize=1)
+def _odd_points() -> np.ndarray:
+    """For every code point whether a text that holds it has to be looked into."""
+    every = "".join(map(chr, range(0x110000)))
+    odd = np.zeros(len(every), bool)
+    for m in re.finditer(f"(?:{SUSPICIOUS})+".replace(r"\x{2212}", "−"), every):
+        odd[m.start() : m.end()] = True
+    return odd
+
+
+def odd_texts(texts: list[str]) -> list[int]:
+    """Which texts hold a suspicious character, found over the characters of all of them at once."""
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    size = np.fromiter(map(len, texts), "int64", len(texts)) + 1
+    ends = np.cumsum(size)
+    seen = np.r_[0, np.cumsum(_odd_points()[points])]
+    return np.flatnonzero(seen[ends] > seen[ends - size]).tolist()
+
+
+#: Characters that are looked through together; a longer text is looked through alone.
+CHUNK_CHARACTERS = 2_000_000
+
+
+def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold CHUNK_CHARACTERS together, or one text."""
+    start = total = 0
+    for k, t in enumerate(texts):
+        if k > start and total + len(t) > CHUNK_CHARACTERS:
+            yield start, k
+            start, total = k, 0
+        total += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def disguised_fields(df: DataFrame, key: str, fields: list[str], model: np.ndarray | None = None) -> DataFrame:
     """Rows (key, field, text) of every field that holds characters it doesn't show, with its canonical text, each once."""
-    tall = df.select(F.col(key).alias(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("raw")) for f in fields])).alias("f"))
-    odd = tall.filter(F.col("f.raw").rlike(SUSPICIOUS)).select(key, "f.field", canonical(F.col("f.raw"), model).alias("c"))
-    return odd.filter("c.found").select(key, "field", "c.text").distinct()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon = Canoniser(model)
+        for b in batches:
+            for k, field in enumerate(fields, 1):
+                texts = [t or "" for t in b.column(k).to_pylist()]
+                where, plain = [], []
+                for start, end in chunks(texts):
+                    for i in odd_texts(texts[start:end]):
+                        text, found = canon(texts[start + i])
+                        if found:
+                            where.append(start + i)
+                            plain.append(text)
+                if where:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(where)), pa.array([field] * len(where)), pa.array(plain, pa.string())], [key, "field", "text"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, *fields).mapInArrow(read, f"`{key}` {kind}, field string, text string").distinct()

@@ -28,7 +28,15 @@ def p5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_canonical": p5_canonical}
-ORACLE: dict[str, str] = {}
+# what counts as a disguise, written out in classes of characters
+_HIDDEN = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{2800}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{E0000}-\x{E0FFF}]"
+_BLANKS = r"[\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_STYLED = r"[\x{FF01}-\x{FFEF}\x{1D400}-\x{1D7FF}\x{2460}-\x{24FF}\x{FB00}-\x{FB06}\x{0132}\x{0133}\x{01C4}-\x{01CC}\x{01F1}-\x{01F3}\x{2102}-\x{2115}\x{2119}-\x{211D}\x{2124}-\x{2131}\x{2133}\x{1F130}-\x{1F189}\x{02B0}-\x{02B8}\x{1D2C}-\x{1D6A}\x{2090}-\x{209C}\x{2071}\x{207F}]"
+_MIXED = r"\p{Latin}[\p{L}\p{N}\p{M}]*[\p{Greek}\p{Cyrillic}]|[\p{Greek}\p{Cyrillic}][\p{L}\p{N}\p{M}]*\p{Latin}"
+ORACLE: dict[str, str] = {
+    "p5_found": rf"""with f as (select id, 'title' as field, title as t from candidate union all select id, 'teaser', teaser from candidate)
+        select distinct id, field from f where regexp_matches(t, '{_HIDDEN}|{_BLANKS}|{_STYLED}|[\p{{L}}\p{{N}}]\p{{Mn}}|{_MIXED}')""",
+}
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

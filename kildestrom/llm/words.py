@@ -11,11 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kildestrom.llm.lookalikes import SUSPICIOUS, Canoniser
+from kildestrom.llm.lookalikes import Canoniser, chunks, odd_texts
 
-NOT_WORD = r"[^\p{L}\p{N}]+"
-#: Characters that are read together; a longer text is read alone.
-CHUNK_CHARACTERS = 2_000_000
 #: Places of a count table; what meets in one is counted together.
 COUNT_PLACES = 1 << 18
 
@@ -28,14 +25,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For every code point: whether it is a letter or digit, and whether a text that holds it has to be looked into."""
+def _word_points() -> np.ndarray:
+    """For every code point whether it is a letter or digit."""
     every = "".join(map(chr, range(0x110000)))
-    word, odd = np.zeros(len(every), bool), np.zeros(len(every), bool)
-    for table, pattern in ((word, r"[^\W_]+"), (odd, f"(?:{SUSPICIOUS})+".replace(r"\x{2212}", "−"))):
-        for m in re.finditer(pattern, every):
-            table[m.start() : m.end()] = True
-    return word, odd
+    word = np.zeros(len(every), bool)
+    for m in re.finditer(r"[^\W_]+", every):
+        word[m.start() : m.end()] = True
+    return word
 
 
 def code_points(texts: list[str]) -> np.ndarray:
@@ -49,7 +45,7 @@ def lengths(texts: list[str]) -> np.ndarray:
 
 def word_spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of a character array begin, and the 64-bit hash of each."""
-    word = _tables()[0][points]
+    word = _word_points()[points]
     begins = np.flatnonzero(word & ~np.r_[False, word[:-1]])
     if not len(begins):
         return begins, np.zeros(0, "uint64")
@@ -62,26 +58,11 @@ def word_spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def plain_texts(texts: list[str], canon: Callable[[str], tuple[str, bool]]) -> list[str]:
     """Lower-case canonical forms; only texts with a suspicious character are looked into."""
-    points, size = code_points(texts), lengths(texts) + 1
-    ends = np.cumsum(size)
-    seen = np.r_[0, np.cumsum(_tables()[1][points])]
-    for k in np.flatnonzero(seen[ends] > seen[ends - size]).tolist():
+    for k in odd_texts(texts):
         texts[k] = canon(texts[k])[0]
     return [t.lower() for t in texts]
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold CHUNK_CHARACTERS together, or one text."""
-    start = total = 0
-    for k, t in enumerate(texts):
-        if k > start and total + len(t) > CHUNK_CHARACTERS:
-            yield start, k
-            start, total = k, 0
-        total += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def word_sets(texts: list[str], canon: Canoniser) -> tuple[np.ndarray, np.ndarray]:
     """Sorted 32-bit hashes of the distinct words of every text, and how many each has."""
     texts = plain_texts(texts, canon)
@@ -122,3 +103,6 @@ def count_table(hashes: DataFrame) -> np.ndarray:
     counts = np.zeros(COUNT_PLACES, "int64")
     counts[rows["place"].to_numpy("int64")] = rows["n"].to_numpy("int64")
     return counts
+
+
+__all__ = ["chunks", "code_points", "count_table", "lengths", "mix", "place_of", "plain_texts", "spread", "word_sets", "word_spans"]
