@@ -85,6 +85,58 @@ def strip_name_tail(title: Column, names: Column) -> Column:
     return F.when(known, name_head(title)).otherwise(title)
 
 
+def _folded(text: Column) -> Column:
+    """Letters and digits only, in lower case."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+
+
+def matches_name(text: Column, names: Column) -> Column:
+    """Whether the letters and digits of a text are those of one of `names`, or three or more of one's."""
+    key = _folded(text)
+    return F.exists(names, lambda n: (key == _folded(n)) | ((F.length(key) >= 3) & F.contains(_folded(n), key)) | ((F.length(_folded(n)) >= 3) & F.contains(key, _folded(n)))) & (key != "")
+
+
+def _without_site_tail(title: Column, names: Column) -> Column:
+    tail, head = name_tail(title), name_head(title)
+    bar = F.regexp_extract(title, r"^[\s\S]*\S\s+([|–—-])\s+\S[\s\S]*$", 1) == "|"
+    n = F.size(F.split(F.trim(tail), r"\s+"))
+    domain = tail.rlike(r"^[\p{L}\p{N}-]+(\.[\p{L}\p{N}-]+)+$")
+    proper = (n <= 4) & tail.rlike(r"^[\p{Lu}\p{N}]\S*(\s+[\p{Lu}\p{N}]\S*)*$")
+    drop = F.when(matches_name(tail, names), True).when(F.length(tail) > 40, False).when(bar, n <= 5).otherwise(domain | proper)
+    return F.when((tail != "") & (F.size(F.split(F.trim(head), r"\s+")) >= 2) & drop, head).otherwise(title)
+
+
+def strip_site_tail(title: Column, names: Column) -> Column:
+    """Without up to two tails that name a site: a known name, up to five words behind a bar, a domain or a few capitalised words.
+
+    At least two words remain; null stays null.
+    """
+    return _without_site_tail(_without_site_tail(title, names), names)
+
+
+def strip_publisher(title: Column, publisher: Column) -> Column:
+    """Without ' - Publisher' at the end, whatever the case and the blanks; nulls change nothing."""
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    known = (plain(name_tail(title)) == plain(publisher)) & (plain(publisher) != "")
+    return F.when(F.coalesce(known, F.lit(False)), name_head(title)).otherwise(title)
+
+
+@F.pandas_udf(T.StringType())
+def _compatible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+def normal_title(title: Column, names: Column) -> Column:
+    """Title for comparison: compatibility form, without tails of sites, without case, signs as blanks; null counts as empty.
+
+    Only titles beyond plain Latin reach Python.
+    """
+    bare = strip_site_tail(F.coalesce(title, F.lit("")), names)
+    plain = F.coalesce(_compatible(F.when(bare.rlike(r"[^\x00-\x7eæøåäöéÆØÅÄÖÉ–—‘’“”»«…]"), bare)), F.lower(bare))
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+
+
 def strip_prefixes(title: Column, prefixes: list[str]) -> Column:
     """Without the first prefix that fits, if a word remains."""
     out = title

@@ -14,7 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARDS = 32
 
 
 def _net(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,14 +44,16 @@ def _changes(lines: DataFrame, key: str, version: str, seq: str, deleted: Column
     )
 
 
-def live_images(lines: DataFrame, key: str = "id", version: str = "updated", seq: str = "seq", deleted: str = "deleted", ignore: Sequence[str] = ("arrived",), base: DataFrame | None = None, shards: int = SHARDS) -> DataFrame:
+def live_images(lines: DataFrame, key: str = "id", version: str = "updated", seq: str = "seq", deleted: str = "deleted", ignore: Sequence[str] = ("arrived",), base: DataFrame | None = None, shards: int | None = None) -> DataFrame:
     """Keys alive after all lines, with the seq of the line that holds: columns (key, seq).
 
     Lines equal in all columns but `seq` and `ignore` are one change with the lowest seq. Changes of a key are ordered
     by (version, seq), nulls first, whatever the order of arrival. `base` has the columns of `lines` and holds rows of
     the table as it was. Lines without a key are void; a null `deleted` writes; an empty table yields no rows; an image
-    for an unknown key inserts it and deleting an unknown key does nothing.
+    for an unknown key inserts it and deleting an unknown key does nothing. A key's changes are summed in `shards` parts
+    first, as many as the session has shuffle partitions, so a hot key has a whole cluster's tasks.
     """
+    shards = shards or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = _changes(lines, key, version, seq, F.col(deleted), ignore)
     if base is not None:
         rows = rows.unionByName(_changes(base, key, version, seq, F.lit(False), ignore))

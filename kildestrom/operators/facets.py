@@ -54,6 +54,26 @@ class FacetQuery:
         keys = set(self.include.get(facet, ()))
         return replace(self, include=self.include | {facet: tuple(sorted(keys ^ {key}))})
 
+    def without(self, facet: str, key: str) -> FacetQuery:
+        """With a chip taken away: the key is neither included nor excluded any more."""
+        gone = lambda lists: {f: tuple(k for k in ks if f != facet or k != key) for f, ks in lists.items()}
+        return replace(self, include={f: ks for f, ks in gone(self.include).items() if ks}, exclude={f: ks for f, ks in gone(self.exclude).items() if ks})
+
+    def toggle_all(self, facet: str, group: set[str], universe: set[str]) -> FacetQuery:
+        """With all keys of a group shown, or none if all were."""
+        shown = (set(self.include.get(facet) or universe) - set(self.exclude.get(facet, ()))) & universe
+        now = shown - group if group <= shown else shown | group
+        cleared = replace(self, include={f: k for f, k in self.include.items() if f != facet}, exclude={f: k for f, k in self.exclude.items() if f != facet})
+        if now == universe:
+            return cleared
+        if not now:
+            return replace(cleared, exclude=cleared.exclude | {facet: tuple(sorted(universe))})
+        return replace(cleared, include=cleared.include | {facet: tuple(sorted(now))}).shortest(facet, universe)
+
+    def chips(self) -> list[tuple[str, str, bool]]:
+        """What is set, as (facet, key, shown), in canonical order."""
+        return [(f, k, True) for f, ks in sorted(self.include.items()) for k in sorted(ks)] + [(f, k, False) for f, ks in sorted(self.exclude.items()) for k in sorted(ks)]
+
     def pick_place(self, place: str, facet: str = "place") -> FacetQuery:
         """With a place added; the first one of a finer kind replaces whole regions."""
         have = set(self.include.get(facet, ()))

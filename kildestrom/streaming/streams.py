@@ -75,3 +75,27 @@ def health_states(df: DataFrame, key: str, order: str, failed: str) -> DataFrame
 
     kind = df.schema[key].dataType.simpleString()
     return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, fails long", "fails long", "update", GroupStateTimeout.NoTimeout)
+
+
+def split_late(df: DataFrame, at: str, late: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a stream in time, and those more than `late` behind the newest time of earlier micro-batches, as written tables.
+
+    The newest time is kept beside the stream's log, so that a batch that is run again is judged alike.
+    """
+    spark = df.sparkSession
+    path, log = fresh_path(spark, name), fresh_path(spark, name + "-log")
+
+    def newest(before: int) -> object:
+        if before == 0:
+            return None
+        return spark.read.schema("newest timestamp, n int").parquet(*[f"{path}/newest/batch={k}" for k in range(before)]).agg(F.max("newest").alias("m")).first().m
+
+    def keep(batch: DataFrame, n: int) -> None:
+        mark = newest(n)
+        behind = F.lit(False) if mark is None else F.coalesce(F.col(at) < F.lit(mark) - F.expr(f"interval {late}"), F.lit(False))
+        batch.withColumn("__late", behind).write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+        batch.agg(F.max(at).cast("timestamp").alias("newest")).withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{path}/newest/batch={n}")
+
+    df.writeStream.foreachBatch(keep).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__late", T.BooleanType())])).parquet(f"{path}/rows")
+    return rows.filter("not __late").select(*df.columns), rows.filter("__late").select(*df.columns)

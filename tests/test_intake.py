@@ -144,3 +144,52 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
         pytest.skip("a folder was set before")
     with pytest.raises(ValueError):
         session.shared_dir(Session())
+
+
+def test_text_dates(spark):
+    from kildestrom.functions import dates
+
+    cases = [
+        ("Set 3. maj 2024, opdateret 2024-06-01", "2024-06-01"), ("Publiceret: 3. maj 2024. Se også 2025-01-01", "2024-05-03"), ("31/2-2024", None), ("1/3-2024 og 5.4.2023", "2024-03-01"), ("2031-01-01", None), ("1999-01-01", None), ("12024-01-011", None),
+        ("Published 7 March 2025", "2025-03-07"), ("", None), (None, None), ("publiceret 99.99.2024, 2.2.2022", "2022-02-02"),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string")
+    got = {r.k: r.d for r in df.select("k", dates.text_date(F.col("t"), F.lit("2026-11-01").cast("date")).cast("string").alias("d")).collect()}
+    assert [got[k] for k in range(len(cases))] == [w for _, w in cases]
+
+
+def test_titles_without_sites(spark):
+    from kildestrom.functions import text
+
+    names = F.array(F.lit("Byens Avis"), F.lit("by.example"))
+    cases = [
+        ("Ny bro åbner | Byens Avis", "Ny bro åbner"), ("Ny bro åbner - by.example | Byens Avis", "Ny bro åbner"), ("Ny bro - og en vej til havnen", "Ny bro - og en vej til havnen"), ("Bro | Byens Avis", "Bro | Byens Avis"),
+        ("Ny bro åbner – Fyns Amt", "Ny bro åbner"), ("Ny bro åbner | en længere forklaring af det hele", "Ny bro åbner | en længere forklaring af det hele"), (None, None), ("", ""),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string")
+    got = {r.k: r.d for r in df.select("k", text.strip_site_tail(F.col("t"), names).alias("d")).collect()}
+    assert [got[k] for k in range(len(cases))] == [w for _, w in cases]
+    pairs = [("ＮＹ bro: Åbner! | Byens Avis", "ny bro åbner"), ("Straße & vej", "strasse vej"), (None, ""), ("  ", "")]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(pairs)], "k int, t string")
+    got = {r.k: r.d for r in df.select("k", text.normal_title(F.col("t"), names).alias("d")).collect()}
+    assert [got[k] for k in range(len(pairs))] == [w for _, w in pairs]
+    assert tuple(_one(spark, text.strip_publisher(F.lit("En sag -  BYENS   avis "), F.lit("Byens Avis")), text.strip_publisher(F.lit("En sag - X"), F.lit(None).cast("string")))) == ("En sag", "En sag - X")
+
+
+def test_selection_editing():
+    q = facets.FacetQuery(include={"genre": ("a", "b")}, exclude={"source": ("x",)})
+    assert q.chips() == [("genre", "a", True), ("genre", "b", True), ("source", "x", False)]
+    assert q.without("genre", "a").include == {"genre": ("b",)} and q.without("source", "x").exclude == {}
+    every = {"a", "b", "c", "d"}
+    assert facets.FacetQuery().toggle_all("g", {"a", "b"}, every).include == {"g": ("c", "d")}
+    assert facets.FacetQuery(include={"g": ("a",)}).toggle_all("g", {"b", "c", "d"}, every) == facets.FacetQuery()
+    assert facets.FacetQuery().toggle_all("g", every, every).exclude == {"g": ("a", "b", "c", "d")}
+
+
+def test_late_rows_come_apart(spark, tmp_path):
+    day = lambda k: dt.datetime(2026, 1, 1) + dt.timedelta(days=k)
+    for rows in ([(1, day(0)), (2, day(20))], [(3, day(3)), (4, day(10)), (5, None)], [(6, day(5)), (7, day(30))]):
+        spark.createDataFrame(rows, "k int, at timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    fine, late = streams.split_late(streams.stream_of(spark, f"{tmp_path}/in", files=1), "at", "14 days", "late")
+    seen = {r.k for r in fine.collect()}, {r.k for r in late.collect()}
+    assert seen[0] | seen[1] == set(range(1, 8)) and not seen[0] & seen[1] and {2, 4, 5, 7} <= seen[0]
