@@ -91,7 +91,13 @@ def _folded(text: Column) -> Column:
 
 
 def matches_name(text: Column, names: Column) -> Column:
-    """Whether the letters and digits of a text are those of one of `names`, or three or more of one's."""
+    """Whether the letters and digits of a text are those of one of `names`; an empty text is no name."""
+    key = _folded(text)
+    return F.exists(names, lambda n: key == _folded(n)) & (key != "")
+
+
+def _tells_name(text: Column, names: Column) -> Column:
+    """The same, or one within the other with three letters or digits at least."""
     key = _folded(text)
     return F.exists(names, lambda n: (key == _folded(n)) | ((F.length(key) >= 3) & F.contains(_folded(n), key)) | ((F.length(_folded(n)) >= 3) & F.contains(key, _folded(n)))) & (key != "")
 
@@ -102,7 +108,7 @@ def _without_site_tail(title: Column, names: Column) -> Column:
     n = F.size(F.split(F.trim(tail), r"\s+"))
     domain = tail.rlike(r"^[\p{L}\p{N}-]+(\.[\p{L}\p{N}-]+)+$")
     proper = (n <= 4) & tail.rlike(r"^[\p{Lu}\p{N}]\S*(\s+[\p{Lu}\p{N}]\S*)*$")
-    drop = F.when(matches_name(tail, names), True).when(F.length(tail) > 40, False).when(bar, n <= 5).otherwise(domain | proper)
+    drop = F.when(_tells_name(tail, names), True).when(F.length(tail) > 40, False).when(bar, n <= 5).otherwise(domain | proper)
     return F.when((tail != "") & (F.size(F.split(F.trim(head), r"\s+")) >= 2) & drop, head).otherwise(title)
 
 

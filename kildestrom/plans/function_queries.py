@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kildestrom.functions import dates, patterns, registry, text
 from kildestrom.operators import logs
 from kildestrom.session import small_side, table
+from kildestrom.sources import pages
 
 TOPICS = {"gebyrer": ["gebyr*", "*pris", "*afgift"], "genanvendelse": ["*genbrug*", "*sortering"], "udbud": ["udbud*", "*aftale"], "klima": ["*klima*", "*energi*"], "regler": ["*godkendelse", "*forslag", "*regler"]}
 FORCED = {"hoering": "regler", "folketing": "regler"}
@@ -82,6 +83,18 @@ def text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ord", F.col("day").cast("string").alias("day"), dates.date_quality(F.col("day"), F.lit(None).cast("date")).alias("quality"))
 
 
+def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and day of pages made of candidates: the site's name as og:title, a heading, a date that can't be, and a text that tells one."""
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    rows = _c(spark, sf_dir).select("id", "source", "first_seen", F.regexp_replace("title", r"[^\p{L}\p{N} ]", "").alias("title")).join(_names(spark, sf_dir), "source")
+    name = F.get("names", F.lit(0))
+    html = F.concat(F.lit('<html><head><meta property="og:title" content="'), escape(name), F.lit('"></head><body><nav><p>Publiceret 2001-01-01</p></nav><main><h1>'), escape(F.col("title")), F.lit(" | "), escape(name), F.lit("</h1><time datetime='2031-05-05'></time><p>Publiceret: "), F.date_format("first_seen", "d.M.yyyy"), F.lit(" i avisen. Se 2002-02-02.</p></main></body></html>"))
+    read = rows.select("id", "names", pages.page(html, F.lit("https://a.example/x")).alias("p")).select("id", "names", "p.titles", "p.dates", "p.body")
+    at = pages.page_times(read, "id", "dates", "body", F.lit("2026-12-31").cast("timestamp"))
+    titles = read.select("id", pages.page_title(F.col("titles"), F.col("names")).alias("title"))
+    return titles.join(at, "id").select("id", "title", F.date_format(F.from_utc_timestamp("at", "Europe/Copenhagen"), "yyyy-MM-dd").alias("day"), "quality")
+
+
 def relative_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the events' days read on one day."""
     rows = table(spark, sf_dir, "timeline_line").filter("day is not null").select("seq", "day")
@@ -100,7 +113,7 @@ def short_teasers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _c(spark, sf_dir).filter(F.length("teaser") > 0).select("id", text.truncate(F.regexp_replace("teaser", r"\s+", " "), 120).alias("teaser"))
 
 
-QUERIES = {f.__name__: f for f in (site_tails, normal_titles, publisher_suffixes, genre_rules, topic_rules, text_dates, relative_days, sort_keys, short_teasers)}
+QUERIES = {f.__name__: f for f in (site_tails, normal_titles, publisher_suffixes, genre_rules, topic_rules, text_dates, page_facts, relative_days, sort_keys, short_teasers)}
 
 _FIRST = "c as (select * from candidate qualify row_number() over (partition by id order by first_seen) = 1)"
 _TAIL = r"^([\s\S]*\S)\s+([|–—-])\s+(\S[\s\S]*)$"
@@ -136,6 +149,7 @@ _POINTS = " union all ".join(
 _MONTHS = "case lower(w) " + " ".join(f"when '{w}' then {m}" for w, m in dates.MONTH_WORDS) + " else try_cast(w as int) end"
 _DAYS = r"(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}|[0-9]{1,2}\.? (?i:" + "|".join(w for w, _ in dates.MONTH_WORDS) + ") [0-9]{4})"
 ORACLE = {
+    "page_facts": rf"""with {_FIRST} select c.id, trim(regexp_replace(regexp_replace(title, '[^\p{{L}}\p{{N}} ]', '', 'g'), '\s+', ' ', 'g')) as title, strftime(timezone('UTC', first_seen), '%Y-%m-%d') as day, 'kilde' as quality from c join feed_source f on f.id = c.source""",
     "site_tails": f"with {_NAMES}, {_ENTRIES}, {_strip('r', 'a')}, {_strip('a', 'b')} select ord, title from b",
     "publisher_suffixes": rf"""with r as (select distinct ord, source_id, trim(title) as title from raw_entry), j as (select r.*, name from r join feed_source f on f.id = r.source_id)
         select ord, case when coalesce(lower(trim(regexp_replace(regexp_extract(title, '{_TAIL}', 3), '\s+', ' ', 'g'))) = lower(trim(regexp_replace(name, '\s+', ' ', 'g'))), false) then regexp_extract(title, '{_TAIL}', 1) else title end as title from j""",

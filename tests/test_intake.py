@@ -193,3 +193,13 @@ def test_late_rows_come_apart(spark, tmp_path):
     fine, late = streams.split_late(streams.stream_of(spark, f"{tmp_path}/in", files=1), "at", "14 days", "late")
     seen = {r.k for r in fine.collect()}, {r.k for r in late.collect()}
     assert seen[0] | seen[1] == set(range(1, 8)) and not seen[0] & seen[1] and {2, 4, 5, 7} <= seen[0]
+
+
+def test_list_pages(spark):
+    from kildestrom.sources import pages
+
+    html = """<nav><a href="/om">Om</a></nav><ul class="news x"><li><time datetime="2026-02-03"></time><a class="t" href="/a">A</a><a href="/a">Længere A</a></li>
+        <li><a class="t" href="/b">B</a> 3. marts 2026</li></ul><article id="top"><a href="https://c.example/c">C</a></article>"""
+    assert pages.read_links(html, "https://s.example/", selector="ul.news a") == [("https://s.example/a", "Længere A", "2026-02-03"), ("https://s.example/b", "B", "3. marts 2026")]
+    assert [u for u, _, _ in pages.read_links(html, "https://s.example/", selector="a.t, #top a")] == ["https://s.example/a", "https://s.example/b", "https://c.example/c"]
+    assert pages.read_links(html, "https://s.example/", "c\\.example") == [("https://c.example/c", "C", None)] and pages.read_links(None, "") == []

@@ -92,9 +92,9 @@ def test_feeds(spark):
 def test_pages(spark):
     html = """<html><head><meta property="og:title" content="Stor &amp; lille"><script type="application/ld+json">{"@graph":[{"datePublished":"2026-02-02"}]}</script></head>
     <body><nav><a href="/n">n</a></nav><main><h1>H</h1><p>Kort.</p><p>Et afsnit som er langt nok til at være indledning på siden.</p><a href="/a?x=1#y">Artikel om noget</a></main></body></html>"""
-    assert pages.read_page(html) == ("Stor & lille", "2026-02-02", "Et afsnit som er langt nok til at være indledning på siden.")
-    assert pages.read_page(None, "https://a.example/2026/03/04/x") == (None, "2026-03-04", None)
-    assert pages.read_links(html, "https://a.example/", "example/a") == [("https://a.example/a?x=1", "Artikel om noget")]
+    assert pages.read_page(html)[:3] == ("Stor & lille", "2026-02-02", "Et afsnit som er langt nok til at være indledning på siden.")
+    assert pages.read_page(None, "https://a.example/2026/03/04/x")[:3] == (None, "2026-03-04", None)
+    assert pages.read_links(html, "https://a.example/", "example/a") == [("https://a.example/a?x=1", "Artikel om noget", None)]
     assert pages.decode_page("æ".encode("cp1252")) == "æ" and pages.decode_page("æ".encode(), "text/html; charset=utf-8") == "æ"
 
 
