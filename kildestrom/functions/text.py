@@ -29,6 +29,11 @@ def _without_accents(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: t if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def words(text: Column) -> Column:
     """Lower-case words in order; null gives none."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
@@ -42,7 +47,7 @@ def word_count(text: Column) -> Column:
 
 def truncate(text: Column, most: int) -> Column:
     """Cut at the last blank in the second half of the limit, without trailing signs, and mark the cut with …."""
-    t = F.trim(text)
+    t = strip(text)
     head = F.substring(t, 1, most - 1)
     at_word = F.regexp_extract(head, r"^([\s\S]*)\s\S*$", 1)
     mid = F.substring(t, most, 1).rlike(r"\S") & (F.length(at_word) >= most // 2)

@@ -397,7 +397,7 @@ _STRONG = [rf"(?:^|{_OUT})[gG][eE][bB][yY][rR]{_IN}*(?:$|{_OUT})", rf"(?:^|{_OUT
 _BASE = {"genre": "genre in ('nyhed', 'debat', 'analyse')", "source": "source <> 'snerdrup'", "dage": f"{_DAY} between date '2025-01-01' and date '2026-06-30'", "ord": "contains(lower(title), 'vil')"}
 _REL = " union all ".join(f"select '{k}' as dropped, count(*) filter (where coalesce({' and '.join(v for o, v in _BASE.items() if o != k)}, false)) as n from c" for k in _BASE)
 ORACLE = {
-    "overridden_items": rf"""with {_C} select id, case when regexp_matches(url, '^https://[^/]*e\.example/2026/') or regexp_matches(regexp_replace(regexp_replace(trim(url), '^(?i:https?)://[^/]*', lower(regexp_extract(trim(url), '^(?i:https?)://[^/]*'))), '^https?://(www\.)?', 'https://'), '^https://[^/]*e\.example/2026/') then 'analyse' when url like '%kategori=udbud%' then 'nyhed' when url like '%/artikel/%' then 'debat' else genre end as genre,
+    "overridden_items": rf"""with {_C} select id, case when regexp_matches(url, '^https://[^/]*e\.example/2026/') or regexp_matches(regexp_replace(regexp_replace(regexp_replace(trim(url), '^(?i:https?)://[^/]*', lower(regexp_extract(trim(url), '^(?i:https?)://[^/]*'))), '^https?://(www\.)?', 'https://'), '^(https://[^/:]*):(80|443)/', '\1/'), '^https://[^/]*e\.example/2026/') then 'analyse' when url like '%kategori=udbud%' then 'nyhed' when url like '%/artikel/%' then 'debat' else genre end as genre,
         case when id = '8ed88d60882e' then 'yy' when url like '%kategori=udbud%' then 'xx' else lang end as lang from c""",
     "approved_items": f"with {_C}, {_J} select c.id, c.source from c join j using (id) where j.relevant and first_seen between {_N} - interval 365 days and {_N} and c.source in (select id from feed_source where paywall <> 'ja')",
     "rewrite_queue": f"""with {_C}, {_J}, r as (select c.id, first_seen from c join j using (id) where j.relevant and first_seen between {_N} - interval 365 days and {_N} and c.source in (select id from feed_source where paywall <> 'ja') and length(teaser) >= 40

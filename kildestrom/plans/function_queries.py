@@ -27,20 +27,20 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def site_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of raw entries without up to two tails that name a site."""
-    rows = table(spark, sf_dir, "raw_entry").select("ord", F.col("source_id").alias("source"), F.trim("title").alias("title")).distinct().join(_names(spark, sf_dir), "source")
+    rows = table(spark, sf_dir, "raw_entry").select("ord", F.col("source_id").alias("source"), text.strip(F.col("title")).alias("title")).distinct().join(_names(spark, sf_dir), "source")
     return rows.select("ord", text.strip_site_tail(F.col("title"), F.col("names")).alias("title"))
 
 
 def normal_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of raw entries for comparison, and how many entries share one."""
-    rows = table(spark, sf_dir, "raw_entry").select("ord", F.col("source_id").alias("source"), F.trim("title").alias("title")).distinct().join(_names(spark, sf_dir), "source")
+    rows = table(spark, sf_dir, "raw_entry").select("ord", F.col("source_id").alias("source"), text.strip(F.col("title")).alias("title")).distinct().join(_names(spark, sf_dir), "source")
     return rows.groupBy(text.normal_title(F.col("title"), F.col("names")).alias("title")).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
 
 
 def publisher_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles without their own source's name at the end, however it is spaced and capitalised."""
     s = small_side(table(spark, sf_dir, "feed_source").select(F.col("id").alias("source_id"), "name"))
-    rows = table(spark, sf_dir, "raw_entry").select("ord", "source_id", F.trim("title").alias("title")).distinct().join(s, "source_id")
+    rows = table(spark, sf_dir, "raw_entry").select("ord", "source_id", text.strip(F.col("title")).alias("title")).distinct().join(s, "source_id")
     return rows.select("ord", text.strip_publisher(F.col("title"), F.upper("name")).alias("title"))
 
 

@@ -68,7 +68,7 @@ def stripped_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles without a source's name at the end and without leading labels."""
     sources = table(spark, sf_dir, "feed_source").select(F.explode(F.concat(F.array("name"), F.coalesce("domains", F.array().cast("array<string>")))).alias("name"))
     names = sources.select(text.title_key(F.col("name")).alias("tail_key")).filter("tail_key <> ''").distinct().withColumn("known", F.lit(True))
-    rows = table(spark, sf_dir, "raw_entry").select("ord", F.trim("title").alias("title")).distinct()
+    rows = table(spark, sf_dir, "raw_entry").select("ord", text.strip(F.col("title")).alias("title")).distinct()
     rows = rows.withColumn("tail_key", text.title_key(text.name_tail(F.col("title")))).join(small_side(names), "tail_key", "left")
     bare = F.when(F.col("known"), text.name_head(F.col("title"))).otherwise(F.col("title"))
     return rows.select("ord", text.strip_prefixes(bare, ["Opdateret: ", "Updated: ", "Uppdaterat: "]).alias("title"))
@@ -227,7 +227,7 @@ ORACLE = {
     "copy_check": f"""with {_FIRST}, s as (select distinct j.seq, {_WORDS.format('j.summary_da')} as a, {_WORDS.format('c.teaser')} as b from judgment j join c using (id) where summary_da is not null),
         g as (select seq, {_GRAMS.format('a', 3)} as ga, {_GRAMS.format('b', 3)} as gb, {_GRAMS.format('a', 6)} as ra, {_GRAMS.format('b', 6)} as rb from s)
         select seq, cast(len(ga) as int) as n_grams, len(list_intersect(ra, rb)) > 0 or (len(ga) >= 4 and len(list_intersect(ga, gb)) > 0.5 * len(ga)) as copied from g""",
-    "rss_round_trip": f"with {_FIRST} select id, title, url as link, 'a' as categories from c",
+    "rss_round_trip": f"with {_FIRST} select id, trim(title) as title, trim(url) as link, 'a' as categories from c",
     "page_round_trip": f"with {_FIRST} select id, trim(regexp_replace(title, '[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}]+', ' ', 'g')) as title, strftime(timezone('UTC', first_seen), '%Y-%m-%d') as published from c",
     "sitemap_newest": f"""with {_FIRST}, r as (select source, url as loc, strftime(timezone('UTC', first_seen), '%Y-%m-%d %H:%M:%S') as lastmod from c)
         select source, cast(rank as int) as rank, loc, lastmod from (select *, row_number() over (partition by source order by lastmod desc, loc) as rank from r) where rank <= 3""",
