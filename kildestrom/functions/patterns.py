@@ -33,9 +33,17 @@ def compile_pattern(pattern: str, groups: bool = False) -> str:
     return ("" if body.startswith("*") else f"{open_}^|{_OUT}{close}") + "".join(out) + ("" if both else f"{open_}$|{_OUT}{close}")
 
 
+def _may_match(text: Column, pattern: str) -> Column:
+    """Whether the longest word part of a pattern is in the text at all: a plain search before the regular expression."""
+    stem = max(re.split(r"[*\s]+", pattern.strip()), key=len)
+    if len(stem) < 3 or not all(len(c.lower()) == len(c.upper()) == 1 and c.upper().lower() == c.lower() for c in stem):
+        return F.lit(True)
+    return F.lower(text).contains(stem.lower())
+
+
 def hits(text: Column, patterns: list[str]) -> Column:
     """Patterns that match, in their order; each stays a literal expression. Null text has none."""
-    return F.array_compact(F.array(*[F.when(text.rlike(compile_pattern(p)), F.lit(p)) for p in dict.fromkeys(patterns)]))
+    return F.array_compact(F.array(*[F.when(_may_match(text, p) & text.rlike(compile_pattern(p)), F.lit(p)) for p in dict.fromkeys(patterns)]))
 
 
 def mask(text: Column, patterns: list[str]) -> Column:

@@ -146,8 +146,6 @@ _POINTS = " union all ".join(
     greatest({', '.join(f"case when {_HAS('title', p)} or {_HAS('teaser', p)} then {len(p)} else 0 end" for p in names)}) as l from d"""
     for k, (t, names) in enumerate(TOPICS.items())
 )
-_MONTHS = "case lower(w) " + " ".join(f"when '{w}' then {m}" for w, m in dates.MONTH_WORDS) + " else try_cast(w as int) end"
-_DAYS = r"(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}|[0-9]{1,2}\.? (?i:" + "|".join(w for w, _ in dates.MONTH_WORDS) + ") [0-9]{4})"
 ORACLE = {
     "page_facts": rf"""with {_FIRST} select c.id, trim(regexp_replace(regexp_replace(title, '[^\p{{L}}\p{{N}} ]', '', 'g'), '\s+', ' ', 'g')) as title, strftime(timezone('UTC', first_seen), '%Y-%m-%d') as day, 'kilde' as quality from c join feed_source f on f.id = c.source""",
     "site_tails": f"with {_NAMES}, {_ENTRIES}, {_strip('r', 'a')}, {_strip('a', 'b')} select ord, title from b",

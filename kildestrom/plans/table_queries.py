@@ -63,7 +63,7 @@ def all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw entries left out as repeats of an accepted title of their source: the first accepted one counts."""
+    """Raw entries left out as repeats of an accepted title of their source: the first accepted one counts; recent_titles has the window of a week."""
     rows = table(spark, sf_dir, "raw_entry").dropDuplicates(["ord"]).select("ord", F.col("source_id").alias("source"), text.title_key(F.col("title")).alias("key"), (F.coalesce(F.lower(F.trim("date_quality")), F.lit("")) != "fundet").alias("accepted"))
     first = F.min(F.when(F.col("accepted"), F.col("ord"))).alias("fa")
     found = rows.join(rows.groupBy("key", "source").agg(first), ["key", "source"])
@@ -232,13 +232,13 @@ def item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def silent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active sources without an item in the last 60 days."""
+    """Active sources without an item since a day; quiet_sources has the condition that they were followed before."""
     seen = table(spark, sf_dir, "candidate").filter(F.col("first_seen") >= F.lit("2026-09-20").cast("timestamp")).select(F.col("source").alias("id")).distinct()
     return table(spark, sf_dir, "feed_source").filter("status = 'aktiv'").join(seen, "id", "left_anti").select("id", "method")
 
 
 def new_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items new since a visit: found after it, no baseline, seen soon after the sitemap day."""
+    """Items found after a visit that are no baseline; new_cards has the condition on their own day."""
     rows = _c(spark, sf_dir).filter(~F.col("baseline") & (F.col("first_seen") > F.lit("2026-10-01").cast("timestamp")))
     return rows.groupBy("source").agg(F.count("*").alias("n"))
 
@@ -309,7 +309,7 @@ def strictest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The users that a stream of events holds, each once."""
     rows = streams.stream_of(spark, sf_dir, "events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    return streams.drain(streams.first_per_key(rows, "user_id", "ts", "4000 days"), "stream").select("user_id")
+    return streams.drain(streams.first_per_key(rows, "user_id", "ts", "40 days"), "stream").select("user_id")
 
 
 def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
