@@ -185,7 +185,7 @@ def image_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def colour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contrast of all pairs of a palette of the regions' colours; a palette is a parameter of a few hundred colours at most."""
     rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.element_at(F.array(*[F.lit(c) for c in ("#ffffff", "#123456", "#008f5a", "#d7263d", "#1b1b1b")]), F.col("r_regionkey").cast("int") + 1).alias("colour"))
-    palette = F.array(*[F.struct(F.lit(r.k).alias("k"), F.lit(r.colour).alias("colour")) for r in collect_small(rows, 500, "colours")])
+    palette = F.array(*[F.struct(F.lit(r.k).alias("k"), F.lit(r.colour).alias("colour")) for r in collect_small(rows, 500, "colours")]).cast("array<struct<k:bigint,colour:string>>")
     pairs = rows.select(F.col("k").alias("a"), "colour", F.explode(F.filter(palette, lambda x: x["k"] > F.col("k"))).alias("other"))
     return pairs.select("a", F.col("other.k").alias("b"), F.round(registry.contrast(F.col("colour"), F.col("other.colour")), 6).alias("ratio"))
 

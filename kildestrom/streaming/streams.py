@@ -14,7 +14,15 @@ from kildestrom.session import fresh_path
 
 
 def stream_of(spark: SparkSession, path: str, glob: str | None = None, files: int | None = None) -> DataFrame:
-    """A stream of parquet files with the schema of those that are there, at most `files` in a micro-batch."""
+    """A stream of parquet files with the schema of those that are there, at most `files` in a micro-batch.
+
+    `glob` names a file of the folder, or a folder of files in it.
+    """
+    if glob:
+        inner = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{glob}")
+        system = inner.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if system.exists(inner) and system.getFileStatus(inner).isDirectory():
+            path, glob = f"{path}/{glob}", None
     schema = spark.read.option("pathGlobFilter", glob or "*.parquet").parquet(path).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob or "*.parquet")
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)

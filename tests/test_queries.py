@@ -46,3 +46,15 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_every_query_takes_empty_tables(spark, tmp_path):
+    for p in glob.glob(f"{DATA}/*.parquet"):
+        spark.read.parquet(p).filter("false").coalesce(1).write.parquet(f"{tmp_path}/{os.path.basename(p)}")
+    failed = {}
+    for name in sorted(CORE):
+        try:
+            CORE[name](spark, str(tmp_path)).toPandas()
+        except Exception as e:
+            failed[name] = str(e)[:200]
+    assert not failed
